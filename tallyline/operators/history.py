@@ -167,15 +167,22 @@ def portfolio_stats(projects: DataFrame, links: DataFrame, summaries: DataFrame)
 
 def portfolio_kpis(stats: DataFrame, links: DataFrame) -> DataFrame:
     """The figures above the project list, in one row."""
-    named = links.agg(F.count_distinct("contractor_id").alias("n_contractors"))
-    return stats.agg(
-        F.count(F.lit(1)).alias("n_projects"),
-        F.count_if(F.lower(F.coalesce("status", F.lit("active"))) == "active").alias("n_active"),
-        F.coalesce(F.sum("n_cycles"), F.lit(0)).alias("n_cycles"),
-        _sum0("billed").alias("billed"),
-        _sum0("built").alias("built"),
-        _sum0("flagged").alias("flagged"),
-    ).join(named)  # one row beside one row
+    names = links.select("contractor_id").distinct()
+    none = F.lit(0).cast("bigint")
+    per_project = stats.select(
+        F.lit(1).alias("n_projects"),
+        (F.lower(F.coalesce("status", F.lit("active"))) == "active").cast("int").alias("n_active"),
+        none.alias("n_contractors"),
+        "n_cycles", "billed", "built", "flagged",
+    )
+    per_name = names.select(
+        F.lit(0).alias("n_projects"), F.lit(0).alias("n_active"), F.lit(1).alias("n_contractors"), none.alias("n_cycles"),
+        *[F.lit(0.0).alias(c) for c in ("billed", "built", "flagged")],
+    )
+    return per_project.unionByName(per_name).agg(
+        *[F.coalesce(F.sum(c), none).alias(c) for c in ("n_projects", "n_active", "n_contractors", "n_cycles")],
+        *[_sum0(c).alias(c) for c in ("billed", "built", "flagged")],
+    )
 
 
 def portfolio_rollup(summaries: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from tallyline.config import CUMULATIVE, Rules
 from tallyline.functions.numbers import money, significant
 from tallyline.functions.text import NOT_DESCRIBED, base_uom, row_key
 from tallyline.operators.contract import contract_index
-from tallyline.operators.rollup import activity, join_null_safe, unit_rollup
+from tallyline.operators.rollup import activity, same, unit_rollup
 from tallyline.schemas import CYCLE_KEYS
 
 # Severities from least to most serious, and the finding texts.
@@ -30,7 +30,13 @@ def tolerance_band(uom: Column, built: Column, rules: Rules = Rules()) -> Column
     return F.when(uom.isin("FT", "100FT"), length).otherwise(F.lit(float(t.count_band)))
 
 
-def with_contract(units: DataFrame, contract: DataFrame, keys: Sequence[str] = CYCLE_KEYS, rules: Rules = Rules()) -> DataFrame:
+def with_contract(
+    units: DataFrame,
+    contract: DataFrame,
+    keys: Sequence[str] = CYCLE_KEYS,
+    rules: Rules = Rules(),
+    extra: Sequence[str] = (),
+) -> DataFrame:
     """Units with their contract item. A contract without project_id serves all projects.
 
     No broadcast is forced: after the rollup both sides hold one row per unit, and
@@ -47,7 +53,7 @@ def with_contract(units: DataFrame, contract: DataFrame, keys: Sequence[str] = C
         "est_qty",
         "is_change_order",
     )
-    joined = join_null_safe_on_code(units, items, scope)
+    joined = join_on_code(units, items, scope)
     if rules.convert_billed_hundreds:
         per_foot = F.when(F.col("contract_uom") == "100FT", F.lit(100.0)).otherwise(F.lit(1.0))
         joined = (
@@ -74,15 +80,16 @@ def with_contract(units: DataFrame, contract: DataFrame, keys: Sequence[str] = C
         "n_built",
         "n_billed",
         "first_seen",
+        *extra,
     )
 
 
-def join_null_safe_on_code(units: DataFrame, items: DataFrame, scope: Sequence[str]) -> DataFrame:
+def join_on_code(units: DataFrame, items: DataFrame, scope: Sequence[str]) -> DataFrame:
     """A null code matches no item, so the code compares plainly; the rest null-safe."""
     renamed = items.select(*[F.col(c).alias(f"__{c}" if c in (*scope, "code") else c) for c in items.columns])
     condition = F.col("code") == F.col("__code")
     for k in scope:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        condition = condition & same(F.col(k), F.col(f"__{k}"), k)
     return units.join(renamed, condition, "left").drop("__code", *[f"__{k}" for k in scope])
 
 
@@ -95,7 +102,7 @@ def with_prior(units: DataFrame, prior: DataFrame | None, keys: Sequence[str] =
     if prior is None:
         return units.withColumn("prior_billed_qty", none)
     scope = [k for k in keys if k in prior.columns]
-    joined = join_null_safe_on_code(units, prior.select(*scope, "code", F.col("prior_billed_qty").alias("__prior")), scope)
+    joined = join_on_code(units, prior.select(*scope, "code", F.col("prior_billed_qty").alias("__prior")), scope)
     usable = (F.col("billing_mode") == CUMULATIVE) & (F.coalesce(F.col("code"), F.lit("")) != "")
     return joined.withColumn("prior_billed_qty", F.when(usable, F.col("__prior"))).drop("__prior")
 

@@ -52,35 +52,27 @@ def fold_resolutions(events: DataFrame, keys: Sequence[str] = CYCLE_KEYS) -> Dat
     An event with a null status clears the decision and with it the note. A null note
     keeps the note as it was, an empty one clears it.
     """
-    group = [*keys, "row_key"]
-    past = Window.partitionBy(*group).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    era = F.count_if(F.col("status").isNull()).over(past)
+    set_now, seq = F.col("status").isNotNull(), F.col("seq")
+    alive = F.coalesce(F.col("cleared"), F.lit(-1).cast("bigint"))
     return (
-        events.withColumn("era", era)
-        .filter("status is not null")
-        .groupBy(*group)
+        events.groupBy(*keys, "row_key")
         .agg(
-            F.max("era").alias("last_era"),
-            F.max_by(F.struct("status", "by", "at", "era"), "seq").alias("last"),
-            F.max(F.when(F.col("note").isNotNull(), F.struct("era", "seq", "note"))).alias("noted"),
-            F.max("seq").alias("last_seq"),
+            F.max(F.when(~set_now, seq)).alias("cleared"),
+            F.max(F.when(set_now, F.struct("seq", "status", "by", "at"))).alias("last"),
+            F.max(F.when(set_now & F.col("note").isNotNull(), F.struct("seq", "note"))).alias("noted"),
         )
-        .join(_cleared(events, group), group, "left")
-        .filter(F.col("cleared_seq").isNull() | (F.col("last_seq") > F.col("cleared_seq")))
+        .filter(F.col("last.seq") > alive)
         .select(
-            *group,
+            *keys,
+            "row_key",
             F.col("last.status").alias("status"),
-            F.coalesce(F.when(F.col("noted.era") == F.col("last.era"), F.col("noted.note")), F.lit("")).alias("note"),
+            F.coalesce(F.when(F.col("noted.seq") > alive, F.col("noted.note")), F.lit("")).alias("note"),
             F.coalesce(F.col("last.by"), F.lit("")).alias("by"),
             F.col("last.at").alias("at"),
         )
     )
 
 
-def _cleared(events: DataFrame, group: Sequence[str]) -> DataFrame:
-    return events.filter("status is null").groupBy(*group).agg(F.max("seq").alias("cleared_seq"))
-
-
 def with_resolutions(rows: DataFrame, resolutions: DataFrame, keys: Sequence[str] = CYCLE_KEYS) -> DataFrame:
     picked = resolutions.select(
         *keys,
@@ -134,9 +126,8 @@ def cycle_counts(
             return
         scope = [k for k in keys if k in df.columns]
         counted = (df if condition is None else df.filter(condition)).groupBy(*scope).agg(F.count(F.lit(1)).alias(name))
-        out = (join_null_safe(out, counted, scope, "left") if scope else out.join(counted)).withColumn(
-            name, F.coalesce(name, F.lit(0)).cast("bigint")
-        )
+        out = join_null_safe(out, counted, scope, "left") if scope else out.withColumn(name, counted.scalar())
+        out = out.withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
 
     attach(contract, "n_contract")
     attach(asbuilt, "n_asbuilt")

@@ -177,15 +177,19 @@ def finish_rollup(
     )
 
 
+def same(left: Column, right: Column, key: str) -> Column:
+    """Key equality. Only the contractor may be missing, and missing equals missing."""
+    return left.eqNullSafe(right) if "contractor" in key else left == right
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Equi-join in which a null contractor equals a null contractor."""
+    """Equi-join on cycle keys, in which a cycle without contractor finds its like."""
     if not keys:
-        return left.crossJoin(right) if how != "left_anti" else left
+        raise ValueError("a join needs at least one key")
     renamed = right.select(*[F.col(c).alias(f"__{c}" if c in keys else c) for c in right.columns])
-    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
+    condition = same(F.col(keys[0]), F.col(f"__{keys[0]}"), keys[0])
+    for k in keys[1:]:
+        condition = condition & same(F.col(k), F.col(f"__{k}"), k)
     return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
 
 

@@ -136,3 +136,129 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("amount"),
         "code",
     )
+
+
+def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per region, nation and ship year, with mode and rate from the nation key."""
+    who = parties(spark, sf_dir).join(
+        table(spark, sf_dir, "nation").select(F.col("n_name").alias("contractor_id"), "n_nationkey"), "contractor_id"
+    )
+    return (
+        table(spark, sf_dir, "lineitem")
+        .select("l_suppkey", (F.year("l_shipdate") - FIRST_YEAR).alias("cycle_no"))
+        .distinct()
+        .join(who, "l_suppkey")
+        .select("project_id", "contractor_id", "cycle_no", "n_nationkey")
+        .distinct()
+        .select(
+            "project_id",
+            "contractor_id",
+            "cycle_no",
+            F.concat(F.lit("FY"), (F.col("cycle_no") + FIRST_YEAR).cast("string")).alias("period_label"),
+            F.when(F.col("n_nationkey") % 2 == 0, "cumulative").otherwise("discrete").alias("billing_mode"),
+            (5.0 + (F.col("n_nationkey") % 3) * 2.5).alias("retainage_pct"),
+        )
+    )
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "region").select(
+        F.col("r_name").alias("project_id"),
+        F.col("r_name").alias("name"),
+        F.when(F.col("r_regionkey") % 4 == 3, "closed").when(F.col("r_regionkey") % 4 != 0, "Active").alias("status"),
+    )
+
+
+def contractors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("contractor_id"), F.col("n_name").alias("name"))
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        table(spark, sf_dir, "nation")
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(F.col("r_name").alias("project_id"), F.col("n_name").alias("contractor_id"))
+    )
+
+
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        "ts",
+        F.col("event_id").alias("seq"),
+        F.col("user_id").cast("string").alias("actor"),
+        F.col("event_type").alias("action"),
+        F.from_json("props", "map<string,string>").alias("detail"),
+    )
+
+
+def decision_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returned lines as a log of reviewer decisions on their unit."""
+    source = lines(spark, sf_dir).filter("l_returnflag = 'R'").select(
+        "project_id",
+        "contractor_id",
+        "cycle_no",
+        F.coalesce("code", "raw_desc").alias("row_key"),
+        F.expr("line_no.l_orderkey * 1000000 + line_no.l_linenumber * 100000 + line_no.l_partkey * 7 % 100000").alias("seq"),
+        F.expr(
+            "CASE line_no.l_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'hold' WHEN 2 THEN 'approve' ELSE 'note' END"
+        ).alias("status"),
+        F.expr(
+            "CASE line_no.l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('n', line_no.l_orderkey) END"
+        ).alias("note"),
+    )
+    keys = ["project_id", "contractor_id", "cycle_no", "row_key", "seq"]
+    # A sequence number used twice is no order, so such pairs are left out on both sides.
+    return (
+        source.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("n"), F.min("status").alias("status"), F.min("note").alias("note"))
+        .filter("n = 1")
+        .select(*keys, "status", "note", F.lit("").alias("by"), F.lit(None).cast("string").alias("at"))
+    )
+
+
+def asbuilt_with_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As-built lines, some of them read from comments and not yet confirmed."""
+    low = table(spark, sf_dir, "labels").filter("quality = 0 and doc_id < 3").select(F.pmod("doc_id", F.lit(200)).alias("slot")).distinct()
+    return (
+        lines(spark, sf_dir)
+        .filter("l_returnflag <> 'R'")
+        .withColumn("slot", F.pmod("l_orderkey", F.lit(200)))
+        .join(low.withColumn("confidence", F.lit("annot")), "slot", "left")
+        .withColumn("confidence", F.coalesce("confidence", F.lit("sum")))
+    )
+
+
+def described_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts under the messy descriptions a contractor might write, six ways of spelling."""
+    return table(spark, sf_dir, "part").select(
+        F.when(F.col("p_partkey") % 6 == 0, F.concat(F.upper("p_name"), F.lit("  "), "p_type"))
+        .when(F.col("p_partkey") % 6 == 1, F.lower(F.regexp_replace(unit_code(), "[#.]", " - ")))
+        .when(F.col("p_partkey") % 6 == 2, F.concat("p_name", F.lit(" "), F.lower("p_type"), F.lit(' 12"')))
+        .when(F.col("p_partkey") % 6 == 3, F.concat(F.lit("Dir. "), "p_name", F.lit(" "), (F.col("p_size") % 4 * 12 + 12).cast("string"), F.lit(" ct")))
+        .when(F.col("p_partkey") % 6 == 4, F.concat(F.initcap("p_type"), F.lit(" / "), "p_name", F.lit(" hh")))
+        .otherwise(F.col("p_name"))
+        .alias("raw_desc"),
+        "p_partkey",
+        "p_name",
+        unit_code().alias("part_code"),
+    )
+
+
+def learned_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain part names as earlier jobs confirmed them: those that start with s."""
+    return (
+        table(spark, sf_dir, "part")
+        .filter("p_name like 's%'")
+        .groupBy(F.col("p_name").alias("normalized_desc"))
+        .agg(F.min(unit_code()).alias("code"))
+    )
+
+
+def mapping_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on descriptions, one per part whose key is divisible by four."""
+    return described_parts(spark, sf_dir).filter("p_partkey % 4 = 0").select(
+        "raw_desc",
+        F.col("p_partkey").alias("seq"),
+        F.expr("CASE p_partkey % 3 WHEN 0 THEN 'map' WHEN 1 THEN 'nic' ELSE 'reopen' END").alias("event"),
+        F.expr("CASE WHEN p_partkey % 3 = 0 THEN part_code END").alias("code"),
+    )
