@@ -120,7 +120,8 @@ def flag_rules(flags: Column, separator: str = ",") -> Column:
 
 
 def file_name(path: Column) -> Column:
-    return F.url_decode(F.element_at(F.split(F.replace(path, F.lit("+"), F.lit("%2B")), "/"), -1))
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
 
 
 def file_stem(name: Column) -> Column:

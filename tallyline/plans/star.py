@@ -8,7 +8,7 @@ line number, so its six identifying columns serve as the line order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyline.operators.rollup import BILLED, BUILT
@@ -262,3 +262,102 @@ def mapping_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE p_partkey % 3 WHEN 0 THEN 'map' WHEN 1 THEN 'nic' ELSE 'reopen' END").alias("event"),
         F.expr("CASE WHEN p_partkey % 3 = 0 THEN part_code END").alias("code"),
     )
+
+
+# --- sheets ------------------------------------------------------------------
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items numbered within their order, from 1."""
+    within = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size")
+    return table(spark, sf_dir, "lineitem").join(part, "l_partkey").withColumn("n", F.row_number().over(within))
+
+
+def _sheets(orders: DataFrame, file: Column, layouts: list[tuple[list[str], list[Column]]], total: list[str]) -> DataFrame:
+    """One sheet per order: a title row, ``l_orderkey % 3`` blank rows, a header, the lines
+    and a total row. The layout goes by ``l_orderkey`` modulo their number."""
+    which = (F.col("l_orderkey") % len(layouts) + 1).cast("int")
+    skip = (F.col("l_orderkey") % 3).cast("int")
+    keys = orders.groupBy("l_orderkey").agg(F.count(F.lit(1)).cast("int").alias("lines"))
+    heads = F.element_at(F.array(*[F.array(*[F.lit(h) for h in head]) for head, _ in layouts]), which)
+
+    def line(no: Column, cells: Column) -> Column:
+        return F.struct(no.cast("int").alias("row_no"), cells.alias("cells"))
+
+    frame = F.array(
+        line(F.lit(0), F.array(F.lit("Pay application"), F.lit(None).cast("string"))),
+        line(skip + 1, heads),
+        line(skip + 2 + F.col("lines"), F.array(*[F.lit(t) for t in total])),
+    )
+    fixed = keys.select("l_orderkey", F.inline(frame))
+    cells = F.element_at(F.array(*[F.array(*[c.cast("string") for c in row]) for _, row in layouts]), which)
+    body = orders.select("l_orderkey", (skip + 1 + F.col("n")).cast("int").alias("row_no"), cells.alias("cells"))
+    return fixed.unionByName(body).select(
+        "l_orderkey", file.alias("file"), F.lit(1).alias("page"), F.lit(1).alias("table_no"), "row_no", "cells"
+    )
+
+
+def invoice_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as an invoice table; the fifth layout has headers nobody can guess."""
+    qty = F.concat(F.lit(" "), F.col("l_quantity").cast("int").cast("string"))
+    amount = F.concat(F.lit("$"), F.format_number("l_extendedprice", 2))
+    price = (F.col("l_extendedprice") / F.col("l_quantity")).cast("string")
+    name, inv = F.col("p_name"), F.concat(F.lit("INV-"), F.col("l_orderkey"))
+    layouts = [
+        (["Invoice #", "Description", "Qty", "Unit Price", "Amount", "Billing Period"], [inv, name, qty, price, amount, F.lit("2025-06")]),
+        (["Item", "Units", "Rate"], [name, qty, price]),
+        (["Line Total", "Work Item", "Quantity"], [amount, F.concat(F.lit("  "), name), qty]),
+        (["Unit Price", "Unit", "Count", "Total"], [price, name, qty, amount]),
+        (["A", "B", "C"], [qty, name, amount]),
+    ]
+    file = F.concat(F.lit("inv_"), F.col("l_orderkey"), F.lit(".pdf"))
+    return _sheets(order_lines(spark, sf_dir), file, layouts, ["Grand Total", "Grand Total", "Grand Total"]).withColumn(
+        "contractor_id", F.concat(F.lit("K"), (F.col("l_orderkey") % 5).cast("string"))
+    )
+
+
+def tally_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a field tally, some without a header that could be found."""
+    qty = F.format_number("l_quantity", 0)
+    uom = F.element_at(F.array(*[F.lit(u) for u in ("LF", "each", "", "n.a.")]), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    seg = F.concat(F.lit("S"), (F.col("l_suppkey") % 3).cast("string"))
+    name = F.when(F.col("l_linenumber") % 2 == 0, F.upper("p_name")).otherwise(F.concat(F.col("p_name"), F.lit(".")))
+    layouts = [
+        (["Segment", "Description", "Qty Built", "UoM"], [seg, name, qty, uom]),
+        (["Work done", "Total", "Measure"], [name, qty, uom]),
+    ]
+    file = F.concat(F.lit("tally_"), F.col("l_orderkey"), F.lit(".csv"))
+    return _sheets(order_lines(spark, sf_dir), file, layouts, ["Grand Total", "Subtotal", "5"])
+
+
+def contract_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract as one rate sheet per brand, headed in one of three ways."""
+    items = contract(spark, sf_dir).withColumn("brand", F.substring_index("code", ".", 1))
+    no = F.row_number().over(Window.partitionBy("brand").orderBy("code"))
+    layout = (F.regexp_extract("brand", r"(\d+)$", 1).cast("int") % 3 + 1).cast("int")
+    price = F.concat(F.lit("$"), F.format_number("unit_price", 2))
+    qty, uom, code, text = F.format_number("est_qty", 0), F.lower("uom"), F.col("code"), F.col("description")
+    heads = [
+        ["CODE", "UNIT DESCRIPTION", "UNIT", "RATE", "Est. Qty"],
+        ["Unit Cost", "Work Item", "Bid Item", "U/M", "Quantity (bid)"],
+        ["Measure", "Ref", "Item description", "Price each", "notes"],
+    ]
+    rows = [[code, text, uom, price, qty], [price, text, code, uom, qty], [uom, code, text, price, F.lit("-")]]
+
+    def pick(options):
+        return F.element_at(F.array(*[F.array(*[c if isinstance(c, Column) else F.lit(c) for c in o]) for o in options]), layout)
+
+    body = items.select("brand", no.cast("int").alias("row_no"), pick(rows).alias("cells"))
+    head = items.select("brand").distinct().select("brand", F.lit(0).alias("row_no"), pick(heads).alias("cells"))
+    gap = items.select("brand").distinct().select("brand", F.lit(1000).alias("row_no"), F.array(F.lit("Item"), F.lit("Subtotal"), F.lit("Subtotal"), F.lit("x")).alias("cells"))
+    file = F.concat(F.lit("rates_"), F.replace(F.col("brand"), F.lit("#"), F.lit("")), F.lit(".csv"))
+    return head.unionByName(body).unionByName(gap).select(file.alias("file"), F.lit(1).alias("page"), F.lit(1).alias("table_no"), "row_no", "cells")
+
+
+def saved_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles per order layout: one good, one without a quantity column."""
+    keys = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5).alias("k")).distinct()
+    return keys.filter("k in (3, 4)").select(
+        F.concat(F.lit("K"), F.col("k").cast("string")).alias("contractor"),
+        F.lit(1).alias("header_row"),
+        F.expr("CASE WHEN k = 4 THEN map('desc', 1, 'qty', 0, 'amount', 2) ELSE map('desc', 1, 'amount', 3) END").alias("columns"),
+    )
