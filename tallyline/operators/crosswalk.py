@@ -139,7 +139,7 @@ def _score_levenshtein(pieces: DataFrame, scope: Sequence[str], keep: int) -> Da
         )
 
     best = F.slice(F.array_sort(F.transform("items", scored)), 1, keep)
-    return text.select(*scope, "text_key", F.explode(best).alias("c")).select(
+    return text.select(*scope, "text_key", F.explode_outer(best).alias("c")).filter("c is not null").select(
         *scope, "text_key", "c.item_no", "c.code", "c.description", (-F.col("c.neg")).alias("score"), "c.field"
     )
 

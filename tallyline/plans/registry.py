@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from tallyline.plans.checks import QUERIES, SQL, cycles, sheets, texts  # noqa: F401
+from tallyline.plans.checks import QUERIES, SQL, cycles, drawings, sheets, texts  # noqa: F401

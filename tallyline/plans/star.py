@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyline.operators.rollup import BILLED, BUILT
+from tallyline.sources.tables import spread
 
 FIRST_YEAR = 1994
 
@@ -361,3 +362,47 @@ def saved_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).alias("header_row"),
         F.expr("CASE WHEN k = 4 THEN map('desc', 1, 'qty', 0, 'amount', 2) ELSE map('desc', 1, 'amount', 3) END").alias("columns"),
     )
+
+
+# --- comments ----------------------------------------------------------------
+def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as a drawing comment in one of eight shorthand layouts; the book
+    is the supplier, the footage grows with the quantity."""
+    v = F.col("l_quantity").cast("int") * 7 + 100
+    k, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    ways = 1 + F.col("l_partkey") % 3
+    tail = 100 + F.col("l_partkey") % 15 * 100
+    layouts = [
+        ("AFO 288F\r", 12000 + F.col("l_orderkey") % 500, "\r", v, "'\rAFO BOND\rAFO SL"),
+        ("AFO 48 (F)\r19984\rAFO - ", v, "\r", k, "-AFO.BANDING\r1-AFO.BOND"),
+        ("AFO.48 (F)\r23706\rAFO - ", v, "\rOLASH"),
+        ("BFO.48.I (F)\nIn - 10478\nBFO - ", v, "\nPipe - 636"),
+        ("BM60(", ways, '-1.25")\rBore=', v, "'"),
+        ("AFO 144F\r11900\r", v, "'\rDG - ", k),
+        (k, "-BM81\rBHF.30T=", q, "\rBDO\rHST 6-", tail),
+        ("This pole on Page ", k, "\r2/26\rAFO.S - 2"),
+    ]
+    texts = [F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts]) for parts in layouts]
+    which = F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(8))
+    excluded = (which == 7) & (F.col("l_orderkey") % 2 == 0)
+    text = F.when(excluded, F.concat(F.lit("Duplicate Page\r"), texts[0])).otherwise(F.element_at(F.array(*texts), (which + 1).cast("int")))
+    return spread(table(spark, sf_dir, "lineitem")).select(
+        F.concat(F.lit("book_"), F.col("l_suppkey").cast("string")).alias("doc_id"),
+        F.col("l_linenumber").alias("page"),
+        F.lit("FreeText").alias("subtype"),
+        text.alias("text"),
+    )
+
+
+def vault_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contract of tiered vaults, one per part size."""
+    return (
+        table(spark, sf_dir, "part")
+        .select("p_size")
+        .distinct()
+        .select(
+            F.concat(F.lit("BHF-"), F.col("p_size").cast("string"), F.lit("T")).alias("code"),
+            F.concat(F.lit("tier vault "), F.col("p_size").cast("string")).alias("description"),
+            F.col("p_size").cast("bigint").alias("line_no"),
+        )
+    )
