@@ -75,10 +75,16 @@ def line_order() -> Column:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with cycle keys, code, description and line order."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), unit_code().alias("part_code"), "p_name")
+    # One small table after the other, so that each is weighed by its own size.
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("contractor_id"), "n_regionkey")
+    region = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("project_id"))
     return (
         table(spark, sf_dir, "lineitem")
         .join(part, "l_partkey")
-        .join(parties(spark, sf_dir), "l_suppkey")
+        .join(supplier, "l_suppkey")
+        .join(nation, "s_nationkey")
+        .join(region, "n_regionkey")
         .select(
             "project_id",
             "contractor_id",
