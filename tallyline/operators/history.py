@@ -321,3 +321,23 @@ def detail_text(detail: Column, width: int = 120) -> Column:
     """``k=v, …`` of a detail map, cut to the width of the audit list."""
     pairs = F.transform(F.map_entries(detail), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("None"))))
     return F.substring(F.array_join(pairs, ", "), 1, width)
+
+
+def project_overview(project_id: str, projects: DataFrame, links: DataFrame, contractors: DataFrame, cycles: DataFrame, results: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a project's page: header with sums, contractors, cycles, trend. The
+    filters on the project reach the partitions of the stored tables."""
+    mine = F.col("project_id") == project_id
+    saved, rows = cycles.filter(mine), results.filter(mine)
+    summaries = cycle_summaries(saved, rows)
+    return {
+        "header": portfolio_stats(projects.filter(mine), links.filter(mine), summaries),
+        "contractors": project_contractors(links.filter(mine), contractors).orderBy("name"),
+        "cycles": summaries.orderBy("cycle_no"),
+        "trend": trend(saved, rows).orderBy("cycle_no"),
+    }
+
+
+def confidence_kinds(asbuilt: DataFrame, keys: Sequence[str] = CYCLE_KEYS) -> DataFrame:
+    """The kinds of confidence among a cycle's as-built lines, sorted."""
+    kinds = asbuilt.select(*keys, "confidence").distinct()
+    return kinds.groupBy(*keys).agg(F.array_sort(F.collect_set("confidence")).alias("kinds"))

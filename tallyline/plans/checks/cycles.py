@@ -515,3 +515,41 @@ def input_fingerprint(spark, sf_dir):
     }
     out = review.fingerprint(parts)
     return out.filter("length(fingerprint) = 40").select(*CYCLE_KEYS, "n_inputs")
+
+
+@query(
+    "approval_head",
+    recon("mixed", prior=True) + f", totals AS ({_TOTALS})"
+    + """SELECT project_id, contractor_id, cycle_no, net_recommended, flagged_over_billing, retainage_held, n_critical, n_warning, n_ok,
+  n_critical + n_warning AS n_flagged, greatest(n_critical + n_warning - 18, 0) AS n_more FROM totals""",
+)
+def approval_head(spark, sf_dir):
+    return review.approval_head(cycle_totals(spark, sf_dir))
+
+
+@query(
+    "export_state",
+    _GATES + """SELECT project_id, contractor_id, cycle_no, n_blocking, CASE WHEN n_blocking > 0 AND cycle_no % 2 = 0 THEN 'paying the uncontested part' END AS reason,
+  n_blocking > 0 AND cycle_no % 2 = 0 AS overridden, n_blocking > 0 AND cycle_no % 2 <> 0 AS locked
+  FROM (SELECT project_id, contractor_id, cycle_no, CAST(CAST(n_contract = 0 AS INTEGER) + CAST(n_unconfirmed > 0 AS INTEGER) + CAST(n_review > 0 AS INTEGER) + CAST(n_open > 0 AS INTEGER) AS BIGINT) AS n_blocking FROM counted)""",
+)
+def export_state(spark, sf_dir):
+    """Overrides with a reason for even cycles and a blank one, which is none, for odd."""
+    given = star.cycles(spark, sf_dir).select(
+        *CYCLE_KEYS,
+        F.when(F.col("cycle_no") % 2 == 0, " paying the uncontested part ").otherwise(" ").alias("reason"),
+        F.lit("me").alias("by"),
+        F.lit("2025-07-01 10:00").alias("at"),
+    )
+    return review.export_state(review.gates(stage_counts(spark, sf_dir)), given).drop("override_by", "override_at")
+
+
+@query(
+    "confidence_kinds",
+    f"WITH {LINES}" + """SELECT project_id, contractor_id, cycle_no, string_agg(DISTINCT confidence, ',' ORDER BY confidence) AS kinds FROM (
+  SELECT *, CASE WHEN l_orderkey % 200 IN (SELECT doc_id % 200 FROM labels WHERE quality = 0 AND doc_id < 3) THEN 'annot' ELSE 'sum' END AS confidence
+  FROM lines WHERE l_returnflag <> 'R') GROUP BY project_id, contractor_id, cycle_no""",
+)
+def confidence_kinds(spark, sf_dir):
+    out = history.confidence_kinds(star.asbuilt_with_confidence(spark, sf_dir))
+    return out.select(*CYCLE_KEYS, F.array_join("kinds", ",").alias("kinds"))
