@@ -78,8 +78,10 @@ def header_cells(cells: Column) -> Column:
 
 
 def looks_like_header(cells: Column, words: Mapping[str, Sequence[str]]) -> Column:
-    low = header_cells(cells)
-    return F.exists(low, _contains(words["desc"])) & F.exists(low, _contains(words["qty"]))
+    """Some cell has a word for the description and some cell one for the quantity. The
+    row is searched as one text, with a mark between cells that no word contains."""
+    row = F.lower(F.array_join(cells, "\u0001"))
+    return _contains(words["desc"])(row) & _contains(words["qty"])(row)
 
 
 def find_headers(
