@@ -121,7 +121,8 @@ class Store:
         self.save_cycles(cycles)
         self.save_results(rows, resolutions)
         saved = cycles.select(*PARTITIONS).distinct()
-        counts = join_null_safe(saved, rows.groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("n_units")), PARTITIONS, "left")
+        stored = join_null_safe(self.results(), saved, PARTITIONS, "left_semi")
+        counts = join_null_safe(saved, stored.groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("n_units")), PARTITIONS, "left")
         detail = {
             "project": F.col("project_id"), "contractor": F.col("contractor_id"), "cycle_no": F.col("cycle_no"),
             "n_units": F.coalesce("n_units", F.lit(0)),

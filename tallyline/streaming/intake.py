@@ -57,7 +57,9 @@ def keep_cycles_current(
     """Reconcile and save again every cycle that new lines belong to."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        store.replace_partitions(batch.withColumn("batch_id", F.lit(batch_id)), "invoice_line", ("batch_id",))
+        # Partitions by project, cycle and batch: the batch replaces only what it wrote
+        # before, and reading the touched cycles back prunes all other partitions.
+        store.replace_partitions(batch.withColumn("batch_id", F.lit(batch_id)), "invoice_line", ("project_id", "cycle_no", "batch_id"))
         stored = store.read("invoice_line", INVOICE_LINE + ", arrived timestamp, batch_id bigint")
         touched = stored.filter(F.col("batch_id") == batch_id).select(*CYCLE_KEYS).distinct()
         mine = dedupe_invoices(join_null_safe(stored, touched, CYCLE_KEYS, "left_semi"), CYCLE_KEYS, order=("batch_id", "source_file", "line_no"))
