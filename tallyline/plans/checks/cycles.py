@@ -453,7 +453,7 @@ _GATES = recon() + _EVENTS + """, counted AS (SELECT y.project_id, y.contractor_
     coalesce(b.n_unconfirmed, 0) AS n_unconfirmed, coalesce(q.n_review, 0) AS n_review, coalesce(o.n_open, 0) AS n_open,
     coalesce(b.n_asbuilt, 0) AS n_asbuilt, coalesce(v.n_invoice, 0) AS n_invoice, coalesce(o.n_rows, 0) AS n_rows, coalesce(o.n_critical, 0) AS n_critical
   FROM cycles y
-  LEFT JOIN (SELECT project_id, contractor_id, cycle_no, count(*) AS n_asbuilt, count(*) FILTER (l_orderkey % 200 IN (SELECT doc_id % 200 FROM labels WHERE quality = 0 AND doc_id < 3)) AS n_unconfirmed
+  LEFT JOIN (SELECT project_id, contractor_id, cycle_no, count(*) AS n_asbuilt, count(*) FILTER (l_orderkey IN (SELECT doc_id FROM labels WHERE quality = 0)) AS n_unconfirmed
      FROM lines WHERE l_returnflag <> 'R' GROUP BY ALL) b USING (project_id, contractor_id, cycle_no)
   LEFT JOIN (SELECT project_id, contractor_id, cycle_no, count(*) AS n_invoice FROM lines GROUP BY ALL) v USING (project_id, contractor_id, cycle_no)
   LEFT JOIN (SELECT project_id, contractor_id, cycle_no, count(DISTINCT raw_desc) AS n_review FROM lines WHERE code IS NULL GROUP BY ALL) q USING (project_id, contractor_id, cycle_no)
@@ -547,7 +547,7 @@ def export_state(spark, sf_dir):
 @query(
     "confidence_kinds",
     f"WITH {LINES}" + """SELECT project_id, contractor_id, cycle_no, string_agg(DISTINCT confidence, ',' ORDER BY confidence) AS kinds FROM (
-  SELECT *, CASE WHEN l_orderkey % 200 IN (SELECT doc_id % 200 FROM labels WHERE quality = 0 AND doc_id < 3) THEN 'annot' ELSE 'sum' END AS confidence
+  SELECT *, CASE WHEN l_orderkey IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'annot' ELSE 'sum' END AS confidence
   FROM lines WHERE l_returnflag <> 'R') GROUP BY project_id, contractor_id, cycle_no""",
 )
 def confidence_kinds(spark, sf_dir):

@@ -140,7 +140,7 @@ described AS (
 RESOLVED = f"""
 texts AS (SELECT DISTINCT raw_desc, {normalize('raw_desc')} AS text_key FROM described),
 items AS (SELECT *, {normalize('code')} AS norm_code, {normalize('description')} AS norm_desc FROM contract),
-aliases AS (SELECT p_name AS normalized_desc, min(p_brand || '.' || p_type) AS code FROM part WHERE p_name LIKE 's%' GROUP BY 1),
+aliases AS (SELECT p_name AS normalized_desc, min(p_brand || '.' || p_type) AS code FROM part GROUP BY 1),
 code_hits AS (SELECT norm_code, arg_min(code, item_no) AS code FROM items GROUP BY 1),
 scored AS (
   SELECT text_key, item_no, code, greatest(sc, sd) AS score, CASE WHEN sc >= sd THEN 'code' ELSE 'description' END AS field,
@@ -163,7 +163,7 @@ DECIDED = """
 events_log AS (
   SELECT raw_desc, p_partkey AS seq, CASE p_partkey % 3 WHEN 0 THEN 'map' WHEN 1 THEN 'nic' ELSE 'reopen' END AS event,
     CASE WHEN p_partkey % 3 = 0 THEN part_code END AS code
-  FROM described WHERE p_partkey % 4 = 0),
+  FROM described),
 decisions AS (
   SELECT raw_desc, CASE WHEN event = 'map' THEN code END AS mapped_code, event = 'nic' AS not_in_contract
   FROM (SELECT *, row_number() OVER (PARTITION BY raw_desc ORDER BY seq DESC) AS rn FROM events_log) WHERE rn = 1 AND event <> 'reopen'),

@@ -243,12 +243,12 @@ def alias_upsert(spark, sf_dir):
 @query(
     "alias_forget",
     f"""SELECT normalized_desc, max(confirmed_at) AS confirmed_at FROM ({_CONFIRMED}) WHERE normalized_desc NOT IN
-  (SELECT event_type || ' ' || CAST(user_id % 50 AS VARCHAR) FROM events WHERE user_id % 50 % 3 = 0) GROUP BY 1""",
+  (SELECT event_type || ' ' || CAST(user_id % 50 AS VARCHAR) FROM events WHERE event_type = 'error') GROUP BY 1""",
 )
 def alias_forget(spark, sf_dir):
     log = confirmations(spark, sf_dir).drop("new")
-    current = history.alias_upsert(log.limit(0), log)
-    reopened = star.table(spark, sf_dir, "events").filter("user_id % 50 % 3 = 0").select(
+    current = history.alias_upsert(log.filter(F.lit(False)), log)
+    reopened = star.table(spark, sf_dir, "events").filter("event_type = 'error'").select(
         F.concat("event_type", F.lit(" "), (F.col("user_id") % 50).cast("string")).alias("normalized_desc")
     )
     return history.alias_forget(current, reopened).select("normalized_desc", "confirmed_at")
@@ -257,7 +257,7 @@ def alias_forget(spark, sf_dir):
 @query(
     "alias_learning",
     f"""WITH {sql.DESCRIBED}, log AS (SELECT {sql.normalize('raw_desc')} AS normalized_desc, p_partkey AS seq, CASE p_partkey % 3 WHEN 0 THEN 'map' WHEN 1 THEN 'nic' ELSE 'reopen' END AS event,
-    part_code AS code FROM described WHERE p_partkey % 4 = 0)
+    part_code AS code FROM described)
   SELECT normalized_desc, code FROM (SELECT *, row_number() OVER (PARTITION BY normalized_desc ORDER BY seq DESC) AS rn FROM log WHERE event <> 'nic') WHERE rn = 1 AND event = 'map'""",
 )
 def alias_learning(spark, sf_dir):

@@ -225,12 +225,11 @@ def decision_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asbuilt_with_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As-built lines, some of them read from comments and not yet confirmed."""
-    low = table(spark, sf_dir, "labels").filter("quality = 0 and doc_id < 3").select(F.pmod("doc_id", F.lit(200)).alias("slot")).distinct()
+    low = table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("l_orderkey")).distinct()
     return (
         lines(spark, sf_dir)
         .filter("l_returnflag <> 'R'")
-        .withColumn("slot", F.pmod("l_orderkey", F.lit(200)))
-        .join(low.withColumn("confidence", F.lit("annot")), "slot", "left")
+        .join(low.withColumn("confidence", F.lit("annot")), "l_orderkey", "left")
         .withColumn("confidence", F.coalesce("confidence", F.lit("sum")))
     )
 
@@ -252,18 +251,17 @@ def described_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def learned_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain part names as earlier jobs confirmed them: those that start with s."""
+    """Plain part names as earlier jobs confirmed them."""
     return (
         table(spark, sf_dir, "part")
-        .filter("p_name like 's%'")
         .groupBy(F.col("p_name").alias("normalized_desc"))
         .agg(F.min(unit_code()).alias("code"))
     )
 
 
 def mapping_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions on descriptions, one per part whose key is divisible by four."""
-    return described_parts(spark, sf_dir).filter("p_partkey % 4 = 0").select(
+    """Decisions on descriptions, one per part; of several on one text the last counts."""
+    return described_parts(spark, sf_dir).select(
         "raw_desc",
         F.col("p_partkey").alias("seq"),
         F.expr("CASE p_partkey % 3 WHEN 0 THEN 'map' WHEN 1 THEN 'nic' ELSE 'reopen' END").alias("event"),
