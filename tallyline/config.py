@@ -15,7 +15,6 @@ RETAINAGE_PCT = 10.0
 RETAINAGE_SLACK = 1.0
 PRICE_EPSILON = 1e-6
 APPROVAL_ROWS = 18
-HEADER_SEARCH_ROWS = 15
 
 
 @dataclass(frozen=True)

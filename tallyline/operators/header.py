@@ -1,8 +1,8 @@
 """Where the header of a sheet is and which column plays which role.
 
-Sheets arrive as rows of cells, ``grid(file, page, table_no, row_no, cells)``. Only the
-first rows of each table take part in the search, which ends in one row per table; the
-rules run on arrays of header cells, so millions of sheets resolve in one pass.
+Sheets arrive as rows of cells, ``grid(file, page, table_no, row_no, cells)``. The
+search is a minimum over the rows of each table, which Spark combines before the shuffle;
+it ends in one row per table, and the rules run on arrays of header cells.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.config import HEADER_SEARCH_ROWS
 from tallyline.functions.text import strip
 
 TABLE = ("file", "page", "table_no")
@@ -89,13 +88,15 @@ def find_headers(
     words: Mapping[str, Sequence[str]] = GRID_WORDS,
     *,
     fall_back: bool = False,
-    rows: int = HEADER_SEARCH_ROWS,
+    rows: int | None = None,
     keys: Sequence[str] = TABLE,
 ) -> DataFrame:
-    """One row per table: header_row and its cells. Without a hit the table is left out,
-    or, with ``fall_back``, its first row is taken."""
+    """One row per table: header_row and its cells. Without a hit the table is left out
+    (see ``without_header``), or, with ``fall_back``, its first row is taken. All rows are
+    searched; ``rows`` narrows that to the first so many."""
     here = F.struct("row_no", "cells")
-    found = grid.filter(F.col("row_no") < rows).groupBy(*keys).agg(
+    searched = grid if rows is None else grid.filter(F.col("row_no") < rows)
+    found = searched.groupBy(*keys).agg(
         F.min(F.when(looks_like_header(F.col("cells"), words), here)).alias("hit"), F.min(here).alias("first")
     )
     pick = F.coalesce("hit", "first") if fall_back else F.col("hit")
@@ -104,6 +105,17 @@ def find_headers(
     )
 
 
+def without_header(
+    grid: DataFrame, words: Mapping[str, Sequence[str]] = GRID_WORDS, *, rows: int | None = None, keys: Sequence[str] = TABLE
+) -> DataFrame:
+    """The tables in which no row reads like a header, with their number of rows."""
+    hit = looks_like_header(F.col("cells"), words)
+    if rows is not None:
+        hit = hit & (F.col("row_no") < rows)
+    counted = grid.groupBy(*keys).agg(F.max(hit).alias("hit"), F.count(F.lit(1)).alias("n_rows"))
+    return counted.filter(~F.coalesce("hit", F.lit(False))).drop("hit")
+
+
 def first_row_headers(grid: DataFrame, keys: Sequence[str] = TABLE) -> DataFrame:
     """Files whose first row is the header by definition."""
     return grid.filter("row_no = 0").select(*keys, F.lit(0).alias("header_row"), F.col("cells").alias("header"))

@@ -312,15 +312,17 @@ def audit_entry(df: DataFrame, actor: Column, action: str, entity: str, entity_i
     )
 
 
-def audit_trail(log: DataFrame, limit: int = 200, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
-    """Newest entries first."""
-    return log.orderBy(*[F.col(c).desc() for c in order]).limit(limit)
+def audit_trail(log: DataFrame, limit: int | None = 200, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+    """Newest entries first, all of them without a limit."""
+    ordered = log.orderBy(*[F.col(c).desc() for c in order])
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def detail_text(detail: Column, width: int = 120) -> Column:
-    """``k=v, …`` of a detail map, cut to the width of the audit list."""
+def detail_text(detail: Column, width: int | None = None) -> Column:
+    """``k=v, …`` of a detail map, whole unless a width is asked for."""
     pairs = F.transform(F.map_entries(detail), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("None"))))
-    return F.substring(F.array_join(pairs, ", "), 1, width)
+    text = F.array_join(pairs, ", ")
+    return text if width is None else F.substring(text, 1, width)
 
 
 def project_overview(project_id: str, projects: DataFrame, links: DataFrame, contractors: DataFrame, cycles: DataFrame, results: DataFrame) -> dict[str, DataFrame]:

@@ -50,10 +50,14 @@ def fold_resolutions(events: DataFrame, keys: Sequence[str] = CYCLE_KEYS) -> Dat
     """Current decision per row from a log of decisions.
 
     An event with a null status clears the decision and with it the note. A null note
-    keeps the note as it was, an empty one clears it.
+    keeps the note as it was, an empty one clears it. ``seq`` may be of any orderable
+    type, a struct of natural keys as well.
     """
     set_now, seq = F.col("status").isNotNull(), F.col("seq")
-    alive = F.coalesce(F.col("cleared"), F.lit(-1).cast("bigint"))
+
+    def alive(at: Column) -> Column:
+        return F.col("cleared").isNull() | (at > F.col("cleared"))
+
     return (
         events.groupBy(*keys, "row_key")
         .agg(
@@ -61,12 +65,12 @@ def fold_resolutions(events: DataFrame, keys: Sequence[str] = CYCLE_KEYS) -> Dat
             F.max(F.when(set_now, F.struct("seq", "status", "by", "at"))).alias("last"),
             F.max(F.when(set_now & F.col("note").isNotNull(), F.struct("seq", "note"))).alias("noted"),
         )
-        .filter(F.col("last.seq") > alive)
+        .filter(F.col("last").isNotNull() & alive(F.col("last.seq")))
         .select(
             *keys,
             "row_key",
             F.col("last.status").alias("status"),
-            F.coalesce(F.when(F.col("noted.seq") > alive, F.col("noted.note")), F.lit("")).alias("note"),
+            F.coalesce(F.when(alive(F.col("noted.seq")), F.col("noted.note")), F.lit("")).alias("note"),
             F.coalesce(F.col("last.by"), F.lit("")).alias("by"),
             F.col("last.at").alias("at"),
         )

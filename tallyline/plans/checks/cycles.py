@@ -397,16 +397,16 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EVENTS = """, decided AS (SELECT project_id, contractor_id, cycle_no, coalesce(code, raw_desc) AS row_key,
-    l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey * 7 % 100000 AS seq,
+    row_number() OVER (PARTITION BY project_id, contractor_id, cycle_no, coalesce(code, raw_desc)
+      ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq,
     CASE l_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'hold' WHEN 2 THEN 'approve' ELSE 'note' END AS status,
     CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_linenumber % 3 = 1 THEN '' ELSE 'n' || CAST(l_orderkey AS VARCHAR) END AS note
   FROM lines WHERE l_returnflag = 'R'),
-once AS (SELECT project_id, contractor_id, cycle_no, row_key, seq, min(status) AS status, min(note) AS note FROM decided GROUP BY ALL HAVING count(*) = 1),
 folded AS (SELECT e.project_id, e.contractor_id, e.cycle_no, e.row_key,
     arg_max(status, seq) FILTER (status IS NOT NULL) AS status,
     coalesce(arg_max(note, seq) FILTER (status IS NOT NULL AND note IS NOT NULL AND seq > coalesce(cleared, -1)), '') AS note
-  FROM once e JOIN (SELECT project_id, contractor_id, cycle_no, row_key, max(seq) FILTER (status IS NULL) AS cleared, max(seq) AS last_seq
-      FROM once GROUP BY ALL) m USING (project_id, contractor_id, cycle_no, row_key)
+  FROM decided e JOIN (SELECT project_id, contractor_id, cycle_no, row_key, max(seq) FILTER (status IS NULL) AS cleared, max(seq) AS last_seq
+      FROM decided GROUP BY ALL) m USING (project_id, contractor_id, cycle_no, row_key)
   WHERE m.cleared IS NULL OR m.cleared < m.last_seq GROUP BY ALL)
 """
 

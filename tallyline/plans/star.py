@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyline.operators.rollup import BILLED, BUILT
-from tallyline.sources.tables import spread
 
 FIRST_YEAR = 1994
 
@@ -200,26 +199,20 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decision_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returned lines as a log of reviewer decisions on their unit."""
-    source = lines(spark, sf_dir).filter("l_returnflag = 'R'").select(
+    return lines(spark, sf_dir).filter("l_returnflag = 'R'").select(
         "project_id",
         "contractor_id",
         "cycle_no",
         F.coalesce("code", "raw_desc").alias("row_key"),
-        F.expr("line_no.l_orderkey * 1000000 + line_no.l_linenumber * 100000 + line_no.l_partkey * 7 % 100000").alias("seq"),
+        F.col("line_no").alias("seq"),
         F.expr(
             "CASE line_no.l_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'hold' WHEN 2 THEN 'approve' ELSE 'note' END"
         ).alias("status"),
         F.expr(
             "CASE line_no.l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('n', line_no.l_orderkey) END"
         ).alias("note"),
-    )
-    keys = ["project_id", "contractor_id", "cycle_no", "row_key", "seq"]
-    # A sequence number used twice is no order, so such pairs are left out on both sides.
-    return (
-        source.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("status").alias("status"), F.min("note").alias("note"))
-        .filter("n = 1")
-        .select(*keys, "status", "note", F.lit("").alias("by"), F.lit(None).cast("string").alias("at"))
+        F.lit("").alias("by"),
+        F.lit(None).cast("string").alias("at"),
     )
 
 
@@ -390,7 +383,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     which = F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(8))
     excluded = (which == 7) & (F.col("l_orderkey") % 2 == 0)
     text = F.when(excluded, F.concat(F.lit("Duplicate Page\r"), texts[0])).otherwise(F.element_at(F.array(*texts), (which + 1).cast("int")))
-    return spread(table(spark, sf_dir, "lineitem")).select(
+    return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("book_"), F.col("l_suppkey").cast("string")).alias("doc_id"),
         F.col("l_linenumber").alias("page"),
         F.lit("FreeText").alias("subtype"),

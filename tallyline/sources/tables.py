@@ -16,14 +16,6 @@ from tallyline.operators.rollup import join_null_safe
 from tallyline.operators.totals import summary_metrics
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when it comes in fewer splits than there are cores
-    (one small file). Large inputs come in many splits and pass unchanged. Meant for
-    plain scans: counting the splits plans the scan but runs nothing."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 PARTITIONS = ("project_id", "contractor_id", "cycle_no")
 RESULT_COLUMNS = (
     "code", "description", "uom", "built_qty", "billed_qty", "contract_price", "billed_price", "est_qty", "billed_amount",
