@@ -42,10 +42,11 @@ def bid_schedule(grid: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
         *scope, "file", F.col("row_no").cast("bigint").alias("line_no"), *[cell(F.col(f"at_{r}")).alias(r) for r in CONTRACT_WORDS]
     )
     items = contract_items(cells, [*scope, "file"])
-    empty = headers.join(items.select("file").distinct(), "file", "left_anti").select("file").limit(3).collect()
-    if empty:
-        raise ValueError(f"Bid schedule parsed to zero items: {[e.file for e in empty]}")
-    return items
+    # A sheet without items meets the items as a row that fails when it is read.
+    none = headers.select("file").distinct().join(items.select(F.col("file").alias("__with")).distinct(), F.col("file") == F.col("__with"), "left_anti")
+    fails = F.raise_error(F.concat(F.lit("Bid schedule parsed to zero items: "), F.col("file")))
+    failing = none.select("file", *[fails.cast(items.schema[c].dataType).alias(c) for c in items.columns if c != "file"])
+    return items.unionByName(failing)
 
 
 # --- tallies -----------------------------------------------------------------

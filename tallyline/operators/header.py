@@ -176,15 +176,16 @@ def suggested_profile(grid: DataFrame, keys: Sequence[str] = TABLE) -> DataFrame
 
 
 def require_columns(headers: DataFrame, roles: Sequence[str], what: str) -> DataFrame:
-    """Fail with the name of a sheet that lacks one of the roles."""
+    """Fail with the name of a sheet that lacks one of the roles, when the sheet is read."""
     missing = None
     for r in roles:
         gap = F.col(f"at_{r}").isNull()
         missing = gap if missing is None else missing | gap
-    bad = headers.filter(missing).select("file", "header").limit(3).collect()
-    if bad:
-        raise ValueError(f"{what}: columns {list(roles)} not all found in " + "; ".join(f"{b.file} {list(b.header)}" for b in bad))
-    return headers
+    text = F.concat(
+        F.lit(f"{what}: columns {list(roles)} not all found in "), F.col("file"), F.lit(" ["),
+        F.array_join("header", ", ", "null"), F.lit("]"),
+    )
+    return headers.withColumns({f"at_{r}": F.when(missing, F.raise_error(text).cast("int")).otherwise(F.col(f"at_{r}")) for r in roles})
 
 
 def with_columns(headers: DataFrame, roles: Sequence[str]) -> DataFrame:

@@ -76,23 +76,45 @@ def prior_billed(results: DataFrame, cycles: DataFrame) -> DataFrame:
 
 
 def with_prior_in_place(units: DataFrame, cycles: DataFrame) -> DataFrame:
-    """Prior quantities for a table that already holds every cycle of named contractors.
+    """Prior quantities for a table that already holds every cycle.
 
     Instead of joining the units to themselves, each unit looks at its own previous
-    appearance, which counts only if it lies in the cycle directly before.
+    appearance, which counts only if it lies in the cycle directly before. A cycle without
+    contractor compares with another contractor's cycle: the units of that one (known from
+    ``cycles`` alone) leave a mark under the cycle they are compared with, and the unit
+    there finds the mark directly before itself.
     """
-    order = Window.partitionBy("project_id", "contractor_id").orderBy("cycle_no")
-    before = cycles.select(*CYCLE_KEYS).distinct().withColumn("prior_cycle_no", F.lag("cycle_no").over(order))
-    per_unit = Window.partitionBy("project_id", "contractor_id", "unit_key").orderBy("cycle_no")
-    seen = F.lag(F.struct("cycle_no", "billed_qty")).over(per_unit)
+    links = prior_cycles(cycles)
+    marked = links.filter("contractor_id is null").select(
+        F.col("project_id").alias("__p"),
+        F.col("prior_contractor_id").alias("__c"),
+        F.col("prior_cycle_no").alias("__n"),
+        F.col("cycle_no").alias("__at"),
+    )
+    here = (
+        (F.col("project_id") == F.col("__p"))
+        & F.col("contractor_id").eqNullSafe(F.col("__c"))
+        & (F.col("cycle_no") == F.col("__n"))
+    )
+    own = F.struct(F.col("contractor_id").alias("c"), F.col("cycle_no").alias("n"), F.lit(1).alias("own"))
+    mark = F.struct(F.lit(None).cast(units.schema["contractor_id"].dataType).alias("c"), F.col("__at").alias("n"), F.lit(0).alias("own"))
+    placed = (
+        units.join(marked, here, "left")
+        .withColumn("__to", F.explode(F.when(F.col("__at").isNull(), F.array(own)).otherwise(F.array(own, mark))))
+        .withColumns({"contractor_id": F.col("__to.c"), "cycle_no": F.col("__to.n")})
+    )
+    per_unit = Window.partitionBy("project_id", "contractor_id", "unit_key").orderBy("cycle_no", "__to.own")
+    seen = F.lag(F.struct("cycle_no", "__to.own", "billed_qty")).over(per_unit)
+    before = links.filter("contractor_id is not null").select(*CYCLE_KEYS, "prior_cycle_no")
     usable = (F.col("billing_mode") == CUMULATIVE) & (F.coalesce(F.col("code"), F.lit("")) != "")
+    of_anyone = F.col("contractor_id").isNull() & (F.col("__seen.own") == 0) & (F.col("__seen.cycle_no") == F.col("cycle_no"))
     return (
-        join_null_safe(units.withColumn("__seen", seen), before, CYCLE_KEYS, "left")
+        join_null_safe(placed.withColumn("__seen", seen).filter("__to.own = 1"), before, CYCLE_KEYS, "left")
         .withColumn(
             "prior_billed_qty",
-            F.when(usable & (F.col("__seen.cycle_no") == F.col("prior_cycle_no")), F.col("__seen.billed_qty")),
+            F.when(usable & ((F.col("__seen.cycle_no") == F.col("prior_cycle_no")) | of_anyone), F.col("__seen.billed_qty")),
         )
-        .drop("__seen", "prior_cycle_no")
+        .drop("__seen", "prior_cycle_no", "__to", "__p", "__c", "__n", "__at")
     )
 
 

@@ -120,29 +120,31 @@ def cycle_counts(
     resolutions: DataFrame | None = None,
     keys: Sequence[str] = CYCLE_KEYS,
 ) -> DataFrame:
-    """Counts of every stage per cycle, each stage grouped once and joined by key."""
+    """Counts of every stage per cycle. Each stage is read and grouped once, whatever is
+    counted of it; rows meet their decisions in that same pass."""
     out = cycles.select(*keys).distinct()
 
-    def attach(df: DataFrame | None, name: str, condition: Column | None = None) -> None:
+    def attach(df: DataFrame | None, **counts: Column) -> None:
         nonlocal out
         if df is None:
-            out = out.withColumn(name, F.lit(0).cast("bigint"))
+            out = out.withColumns({name: F.lit(0).cast("bigint") for name in counts})
             return
         scope = [k for k in keys if k in df.columns]
-        counted = (df if condition is None else df.filter(condition)).groupBy(*scope).agg(F.count(F.lit(1)).alias(name))
-        out = join_null_safe(out, counted, scope, "left") if scope else out.withColumn(name, counted.scalar())
-        out = out.withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
-
-    attach(contract, "n_contract")
-    attach(asbuilt, "n_asbuilt")
-    attach(asbuilt, "n_unconfirmed", F.col("confidence") == "annot")
-    attach(invoices, "n_invoice")
-    attach(review, "n_review")
-    attach(mapped, "n_mapped")
-    attach(rows, "n_rows")
-    attach(rows, "n_critical", F.col("severity") == "critical")
-    attach(open_criticals(rows, resolutions, keys) if rows is not None and resolutions is not None else
-           (rows.filter("severity = 'critical'") if rows is not None else None), "n_open_criticals")
+        counted = df.groupBy(*scope).agg(*[F.count_if(c).alias(name) for name, c in counts.items()])
+        out = join_null_safe(out, counted, scope, "left") if scope else out.join(counted)
+        out = out.withColumns({name: F.coalesce(name, F.lit(0)).cast("bigint") for name in counts})
+
+    every, critical = F.lit(True), F.col("severity") == "critical"
+    attach(contract, n_contract=every)
+    attach(asbuilt, n_asbuilt=every, n_unconfirmed=F.coalesce(F.col("confidence") == "annot", F.lit(False)))
+    attach(invoices, n_invoice=every)
+    attach(review, n_review=every)
+    attach(mapped, n_mapped=every)
+    is_open = critical
+    if rows is not None and resolutions is not None:
+        decided = resolutions.select(*keys, "row_key", F.lit(True).alias("__decided"))
+        rows, is_open = join_null_safe(rows, decided, [*keys, "row_key"], "left"), critical & F.col("__decided").isNull()
+    attach(rows, n_rows=every, n_critical=critical, n_open_criticals=is_open)
     return out
 
 

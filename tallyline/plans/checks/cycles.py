@@ -329,6 +329,31 @@ def prior_from_saved(spark, sf_dir):
     return prior.filter("contractor_id is null").select("project_id", "cycle_no", "code", "prior_billed_qty")
 
 
+@query(
+    "prior_unnamed_in_place",
+    recon("cumulative")
+    + """, firsts AS (SELECT r_name AS project_id, min(n_name) AS f FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1),
+  numbered AS (SELECT project_id, cycle_no, f, lag(cycle_no) OVER w AS prior_no, lag(coalesce(name, f)) OVER w AS prior_name
+    FROM (SELECT project_id, cycle_no, f, min(contractor_id) FILTER (contractor_id <> f) AS name FROM lines JOIN firsts USING (project_id) GROUP BY ALL)
+    WINDOW w AS (PARTITION BY project_id ORDER BY cycle_no))
+SELECT t.project_id, t.cycle_no, t.code, p.billed_qty AS prior_billed_qty
+FROM recon t JOIN numbered n ON t.project_id = n.project_id AND t.cycle_no = n.cycle_no AND t.contractor_id = n.f
+JOIN recon p ON p.project_id = t.project_id AND p.cycle_no = n.prior_no AND p.contractor_id = n.prior_name AND p.code = t.code""",
+)
+def prior_unnamed_in_place(spark, sf_dir):
+    """The first contractor of every project is left unnamed: its cycles compare with the
+    latest earlier ones, those of the first of the named contractors in them."""
+    first = star.links(spark, sf_dir).groupBy("project_id").agg(F.min("contractor_id").alias("__first"))
+
+    def unnamed(df):
+        joined = df.join(first, "project_id")
+        return joined.withColumn("contractor_id", F.when(F.col("contractor_id") != F.col("__first"), F.col("contractor_id"))).drop("__first")
+
+    cycles = unnamed(star.cycles(spark, sf_dir)).withColumn("created_at", F.coalesce("contractor_id", F.lit("~")))
+    rows = reconcile_series(unnamed(star.activity(spark, sf_dir)), star.contract(spark, sf_dir), cycles)
+    return rows.filter("contractor_id is null and prior_billed_qty is not null").select("project_id", "cycle_no", "code", "prior_billed_qty")
+
+
 @query(
     "cumulative_decrease",
     recon("mixed", prior=True)
@@ -398,7 +423,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EVENTS = """, decided AS (SELECT project_id, contractor_id, cycle_no, coalesce(code, raw_desc) AS row_key,
     row_number() OVER (PARTITION BY project_id, contractor_id, cycle_no, coalesce(code, raw_desc)
-      ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq,
+      ORDER BY l_orderkey, l_linenumber) AS seq,
     CASE l_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'hold' WHEN 2 THEN 'approve' ELSE 'note' END AS status,
     CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_linenumber % 3 = 1 THEN '' ELSE 'n' || CAST(l_orderkey AS VARCHAR) END AS note
   FROM lines WHERE l_returnflag = 'R'),

@@ -63,7 +63,10 @@ class Store:
 
     # --- cycles --------------------------------------------------------------
     def save_results(self, rows: DataFrame, resolutions: DataFrame | None = None) -> None:
-        """Reconciled rows of whole cycles, with the reviewer decisions beside them."""
+        """Reconciled rows of whole cycles, with the reviewer decisions beside them. Without
+        ``resolutions`` the decisions that are stored for these rows stay."""
+        if resolutions is None and "resolution" not in rows.columns:
+            resolutions = self.decisions()
         if resolutions is not None:
             rows = with_resolutions(rows, resolutions)
         for c in ("resolution", "resolution_note", "resolved_by", "resolved_at"):
@@ -71,6 +74,14 @@ class Store:
                 rows = rows.withColumn(c, F.lit(None).cast("string"))
         self.replace_partitions(rows.select(*PARTITIONS, *RESULT_COLUMNS), "recon_result")
 
+    def decisions(self) -> DataFrame:
+        """The decisions stored beside the rows, as they are handed to a save."""
+        decided = self.results().filter("resolution is not null or resolution_note is not null")
+        return decided.select(
+            *PARTITIONS, row_key(F.col("code"), F.col("description")).alias("row_key"), F.col("resolution").alias("status"),
+            F.col("resolution_note").alias("note"), F.col("resolved_by").alias("by"), F.col("resolved_at").alias("at"),
+        )
+
     def results(self) -> DataFrame:
         return self.read("recon_result", schemas.RECON_RESULT)
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyline.config import Rules
 from tallyline.operators.feeds import dedupe_invoices
+from tallyline.operators.history import prior_billed
 from tallyline.operators.reconcile import reconcile
 from tallyline.operators.rollup import join_null_safe
 from tallyline.schemas import CYCLE_KEYS, INVOICE_LINE
@@ -50,11 +51,17 @@ def keep_cycles_current(
     contract: DataFrame,
     *,
     rules: Rules = Rules(),
+    cycles: DataFrame | None = None,
     name: str = "invoice_intake",
     checkpoint: str | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Reconcile and save again every cycle that new lines belong to."""
+    """Reconcile and save again every cycle that new lines belong to.
+
+    ``cycles`` gives each cycle's billing mode; the stored cycles do where it is not given,
+    and that of ``rules`` where neither has any. Cycles are compared with the stored rows
+    of their prior cycle, and decisions stored beside the rows stay.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         # Partitions by project, cycle and batch: the batch replaces only what it wrote
@@ -64,7 +71,11 @@ def keep_cycles_current(
         touched = stored.filter(F.col("batch_id") == batch_id).select(*CYCLE_KEYS).distinct()
         mine = dedupe_invoices(join_null_safe(stored, touched, CYCLE_KEYS, "left_semi"), CYCLE_KEYS, order=("batch_id", "source_file", "line_no"))
         built = join_null_safe(asbuilt, touched, CYCLE_KEYS, "left_semi")
-        store.save_results(reconcile(built, mine, contract, rules=rules))
+        known = (store.cycles() if cycles is None else cycles).select(*CYCLE_KEYS, "billing_mode").dropDuplicates(list(CYCLE_KEYS))
+        modes = join_null_safe(touched, known, CYCLE_KEYS, "left").withColumn("billing_mode", F.coalesce("billing_mode", F.lit(rules.billing_mode)))
+        every = known.select(*CYCLE_KEYS).unionByName(touched).unionByName(store.results().select(*CYCLE_KEYS)).distinct()
+        before = join_null_safe(prior_billed(store.results(), every), touched, CYCLE_KEYS, "left_semi")
+        store.save_results(reconcile(built, mine, contract, rules=rules, cycles=modes, prior=before))
 
     writer = lines.writeStream.queryName(name).foreachBatch(save).option("checkpointLocation", checkpoint_folder(lines.sparkSession, name, checkpoint))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
