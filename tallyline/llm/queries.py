@@ -78,7 +78,40 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-SQL: dict[str, str] = {}
+#: The same in SQL, where it can be said: trees, merges, gear and XXH64 hashes and alignments can't, and are held against brute force in tests.
+_OP4 = """WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to FROM p LEFT JOIN f USING (payload_digest)"""
+
+_OP6 = """WITH steps AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
+d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM documents, steps),
+leaf AS (SELECT n AS s, CASE WHEN n < 24 THEN 'region' || (n // 8) ELSE 'region+' || n END AS region,
+    CASE WHEN n < 24 THEN 'region' || (n // 8) || '/rack' || (n // 4 % 2) ELSE 'region+' || n || '/rack0' END AS rack FROM range(25) r(n)),
+size_of AS (SELECT * FROM (VALUES (24), (25)) v(n)),
+nodes AS (SELECT DISTINCT n, 1 AS level, '' AS parent, region AS name, CAST(count(*) OVER (PARTITION BY n, region) AS DOUBLE) AS w FROM leaf, size_of WHERE s < n
+  UNION SELECT DISTINCT n, 2, region, rack, CAST(count(*) OVER (PARTITION BY n, rack) AS DOUBLE) FROM leaf, size_of WHERE s < n
+  UNION SELECT n, 3, rack, rack || '/shard' || s, 1.0 FROM leaf, size_of WHERE s < n),
+drawn AS (SELECT doc_id, n, level, parent, name, -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || name), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / w AS draw FROM d, nodes),
+l1 AS (SELECT doc_id, n, arg_min(name, draw) AS name FROM drawn WHERE level = 1 GROUP BY ALL),
+l2 AS (SELECT x.doc_id, x.n, arg_min(x.name, draw) AS name FROM drawn x JOIN l1 ON x.doc_id = l1.doc_id AND x.n = l1.n AND x.parent = l1.name WHERE level = 2 GROUP BY ALL),
+l3 AS (SELECT x.doc_id, x.n, arg_min(x.name, draw) AS name FROM drawn x JOIN l2 ON x.doc_id = l2.doc_id AND x.n = l2.n AND x.parent = l2.name WHERE level = 3 GROUP BY ALL),
+placed AS (SELECT doc_id, n, CAST(split_part(name, '/shard', 2) AS INTEGER) AS shard FROM l3)
+SELECT d.doc_id, size, text_crc32, 'key' AS law, a.shard AS shard, row_number() OVER (PARTITION BY a.shard ORDER BY d.doc_id) - 1 AS slot, b.shard AS grown_shard
+FROM d JOIN placed a ON d.doc_id = a.doc_id AND a.n = 24 JOIN placed b ON d.doc_id = b.doc_id AND b.n = 25"""
+
+_OP10 = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+firsts AS (SELECT s, min(doc_id) AS f FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM win JOIN firsts USING (s), (SELECT unnest(range(0, 13)) AS k) WHERE f < doc_id),
+per AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(js, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN per USING (doc_id)"""
+
+SQL = {"op4_warc": _OP4, "op6_sharding": _OP6, "op10_substring_dedup": _OP10}
 
 QUERIES = {
     f.__name__: f
