@@ -77,9 +77,9 @@ class Items:
         out, spans = [], None
         for k, starts in places.items():
             i, item = self.items[k]
-            slack, best, until = len(item) // 2 + 2, None, -1
+            slack, best, until = len(item) // 2 + 2, None, None
             for start in sorted(starts):
-                if start <= until:
+                if until is not None and start <= until:
                     continue  # within what has been aligned
                 a, b = max(0, start - slack), start + len(item) + 2 * slack
                 until = start + slack

@@ -149,7 +149,7 @@ def document_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "te
     spark = df.sparkSession
     parts = parts or 3 * shuffle_partitions(spark)
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    about = sorted(set(docs.select("id").approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts)))
+    about = sorted(set(docs.select("id").approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
     # the ids that begin a range: at most `parts` numbers
     first = sorted(r["least"] for r in docs.where("id is not null").groupBy(_range(F.col("id"), about, "double").alias("part")).agg(F.min("id").alias("least")).collect())
     part = _range(F.col("id"), first[1:], "long")
