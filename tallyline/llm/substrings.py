@@ -3,7 +3,7 @@
 A count-min sketch counts all windows: each task fills its own, and the sketches are merged
 cell by cell. A cell only has to tell none, one and more, so a sketch is two bit maps. Its
 estimates are never too low; windows estimated to occur once are settled, and only the others
-are grouped exactly by 128 bits of hash. What is grouped has been combined before it moves: a
+are grouped exactly by 96 bits of hash. What is grouped has been combined before it moves: a
 task asks about a window for the smallest of its documents only, as its others are certain to
 go. A window that a third of all documents share therefore gives one row per task.
 """
@@ -30,24 +30,25 @@ _NONE = np.empty(0, np.uint64)
 
 
 class Windows:
-    """128-bit hashes of all windows of a text, in two halves."""
+    """96-bit hashes of all windows of a text: 64 bits, and 32 more."""
 
     def __init__(self, size: int):
         self.size = size
-        self.word = Bounded(lambda w: (xxhash.xxh3_64_intdigest(w), xxhash.xxh3_64_intdigest(w, 7)))
+        self.word = Bounded(xxhash.xxh3_128_digest)
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, words: list[bytes], halves: int = 2) -> list[np.ndarray]:
         n = len(words) - self.size + 1
         if n < 1:
-            return _NONE, _NONE
-        each = np.array(list(map(self.word.__getitem__, words)), np.uint64)
+            return [_NONE, _NONE.astype(np.uint32)][:halves]
+        each = np.frombuffer(b"".join(map(self.word.__getitem__, words)), np.uint64).reshape(-1, 2)
         out = []
-        for half, factor in ((each[:, 0], _A), (each[:, 1], _B)):
-            h = np.zeros(n, np.uint64)
-            for i in range(self.size):
-                h = h * factor + half[i : i + n]
+        for half, factor in ((each[:, 0], _A), (each[:, 1], _B))[:halves]:
+            h = half[:n].copy()
+            for i in range(1, self.size):
+                h *= factor
+                h += half[i : i + n]
             out.append(h ^ (h >> np.uint64(29)))
-        return out[0], out[1]
+        return out if halves < 2 else [out[0], (out[1] >> np.uint64(32)).astype(np.uint32)]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -114,7 +115,7 @@ def _sketching(size: int, bits: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, sketch, held, n = Windows(size), None, [], 0
         for _, text in _texts(batches):
-            h, _ = windows.of(words_of(text))
+            (h,) = windows.of(words_of(text), 1)
             held.append(h)
             n += len(h)
             if n >= _HELD:
@@ -194,10 +195,14 @@ def _bucket(low: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _firsts(ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Each window of a document once, in order of window and id, and the smallest id of its window."""
-    order = np.lexsort((ids, high, low))
+    """Each window of a document once, in order of window, and the smallest id of its window."""
+    order = np.argsort(low)
     ids, low, high = ids[order], low[order], high[order]
-    new = np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
+    same = low[1:] == low[:-1]
+    several = np.flatnonzero(np.r_[False, same] | np.r_[same, False])  # in order by low; the others are alone
+    inner = several[np.lexsort((ids[several], high[several], low[several]))]
+    ids[several], high[several] = ids[inner], high[inner]
+    new = np.r_[True, ~same | (high[1:] != high[:-1])]
     keep = new | np.r_[True, ids[1:] != ids[:-1]]
     least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
     return ids[keep], low[keep], high[keep], least[keep]
@@ -227,34 +232,31 @@ def _combined(ids: np.ndarray, low: np.ndarray, high: np.ndarray, buckets: int)
 
 
 def _answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket held at a time; says for each asking document but the first that it loses the window."""
-    out = pa.schema([("id", pa.int64()), ("lost", pa.binary())])
+    """(id, lost) for each window that a document loses. One bucket is held at a time: in it each asking document but the first loses."""
     now, held = None, []
 
-    def answers() -> list[dict]:
-        if not held:
-            return []
+    def answers() -> pa.RecordBatch:
         ids = np.concatenate([_unpack(r["id"], np.int64) for r in held])
-        low, high = (np.concatenate([np.frombuffer(r[c], np.uint64) for r in held]) for c in "ab")
+        low, high = (np.concatenate([np.frombuffer(r[c], kind) for r in held]) for c, kind in (("a", np.uint64), ("b", np.uint32)))
         ids, low, _, least = _firsts(ids, low, high)
-        lost = ids > least
-        return list(_losers(ids[lost], low[lost], 1))
+        return told(ids[ids > least], low[ids > least])
 
-    def told(rows: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"id": int.from_bytes(r["id"], "little", signed=True), "lost": r["a"]} for r in rows], schema=out)
+    def told(ids: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"id": pa.array(ids), "lost": pa.array(low.view(np.int64))})
 
     for batch in batches:
-        rows = []
         for row in batch.to_pylist():
             if row["bucket"] != now:
-                rows += answers()
+                if held:
+                    yield answers()
                 now, held = row["bucket"], []
             if row["kind"]:
-                rows.append(row)
+                low = np.frombuffer(row["a"], np.uint64)
+                yield told(np.full(len(low), int.from_bytes(row["id"], "little", signed=True), np.int64), low)
             else:
                 held.append(row)
-        yield told(rows)
-    yield told(answers())
+    if held:
+        yield answers()
 
 
 def _kept(size: int):
@@ -265,14 +267,14 @@ def _kept(size: int):
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         windows = Windows(size)
         for texts, losses in batches:
-            yield pa.array([one(windows, t.as_py(), x.as_py() if x.is_valid else None) for t, x in zip(texts, losses)], kind)
+            yield pa.array([one(windows, t.as_py(), x.values.to_numpy().view(np.uint64) if x.is_valid else _NONE) for t, x in zip(texts, losses)], kind)
 
-    def one(windows: Windows, text: str | None, lost: list[bytes] | None) -> dict:
+    def one(windows: Windows, text: str | None, lost: np.ndarray) -> dict:
         words = words_of(text)
         total, n = len(words), 0
-        if lost and total >= size:
-            low, _ = windows.of(words)
-            at = np.flatnonzero(np.isin(low, np.frombuffer(b"".join(lost), np.uint64)))
+        if len(lost) and total >= size:
+            (low,) = windows.of(words, 1)
+            at = np.flatnonzero(np.isin(low, lost))
             edge = np.zeros(total + 1, np.int32)
             np.add.at(edge, at, 1)
             np.add.at(edge, at + size, -1)
@@ -290,7 +292,7 @@ def windows_lost(docs: DataFrame, size: int = 13, bits: int = 29, rows: int = 2)
     shared = spark.sparkContext.broadcast(window_sketch(docs, size, bits, rows))
     buckets = 8 * shuffle_partitions(spark)
     asked = docs.mapInArrow(_asking(shared, size, buckets), "bucket int, kind int, id binary, a binary, b binary")
-    told = asked.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_answering, "id long, lost binary")
+    told = asked.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_answering, "id long, lost long")
     return told.groupBy("id").agg(F.collect_list("lost").alias("lost"))
 
 
