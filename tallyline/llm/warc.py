@@ -216,16 +216,16 @@ def read_member(data: bytes) -> tuple[dict[str, str], bytes]:
 _READ = pa.schema([("id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
 
-def _reading(payload: bool, root: str):
+def _reading(payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _ = _open(root)
         path, file = None, None
         schema = _READ if payload else pa.schema(list(_READ)[:-1])
         for batch in batches:
             rows = []
             for where, offset, length in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length"))):
                 if where != path:
-                    path, file = where, system.open_input_file(where)
+                    system, place = _open(where)
+                    path, file = where, system.open_input_file(place)
                 file.seek(offset)
                 fields, data = read_member(file.read(length))
                 digest = fields["warc-payload-digest"].removeprefix("sha256:")
@@ -242,15 +242,15 @@ def _reading(payload: bool, root: str):
     return run
 
 
-def read_records(index: DataFrame, root: str, payload: bool = True) -> DataFrame:
+def read_records(index: DataFrame, payload: bool = True) -> DataFrame:
     """The records that an index names, each read by itself: id, record_type, refers_to, payload_bytes, payload_digest, payload.
 
-    Payloads of responses are held against their digests. root: the folder's address, for its
-    file system. Index rows are ranged by place, so that a task reads one stretch of a file.
+    Payloads of responses are held against their digests. Index rows are ranged by place, so
+    that a task reads one stretch of a file.
     """
     kind = "id long, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payload
     placed = index.select("path", "offset", "length").repartitionByRange(shuffle_partitions(index.sparkSession), "path", "offset").sortWithinPartitions("path", "offset")
-    return placed.mapInArrow(_reading(payload, root), kind)
+    return placed.mapInArrow(_reading(payload), kind)
 
 
 def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 100) -> DataFrame:
@@ -275,5 +275,5 @@ def archive_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     written = write_archives(with_revisits(pages, page_id, url, html), raw)
     normalise(written, folder)
     if written.isEmpty():
-        return read_records(spark.createDataFrame([], INDEX), folder, payload)
-    return read_records(read_index(spark, folder), folder, payload)
+        return read_records(spark.createDataFrame([], INDEX), payload)
+    return read_records(read_index(spark, folder), payload)
