@@ -23,13 +23,13 @@ def comments(annotations: DataFrame) -> DataFrame:
     return source.withColumn("tokens", cut).filter(F.size("tokens") > 0)
 
 
-def _is_excluded() -> Column:
+def is_excluded() -> Column:
     return sh.any_of(F.upper(F.array_join("tokens", " | ")), sh.EXCLUDING)
 
 
 def excluded_comments(split: DataFrame) -> DataFrame:
     """Comments left out as a whole: duplicates and work not built."""
-    return split.filter(_is_excluded()).withColumn("text", F.array_join("tokens", " | ")).drop("tokens")
+    return split.filter(is_excluded()).withColumn("text", F.array_join("tokens", " | ")).drop("tokens")
 
 
 # --- reading one token -------------------------------------------------------
@@ -49,6 +49,7 @@ def _read(x: Column) -> Column:
         F.when(opens, sh.found(t, sh.CABLE, 2).try_cast("int")).alias("cable_count"),
         (opens & t.contains("IE") & t.rlike(sh.EXISTING_DUCT)).alias("existing"),
         t.contains("BM60").alias("conduit"),
+        F.when(t.contains("BM60"), sh.conduit(t)).alias("pipe"),
     )
 
 
@@ -92,7 +93,8 @@ def _classify(x: Column) -> Column:
     dims = F.concat_ws("x", sh.found(t, sh.DIMENSIONS, 1), sh.found(t, sh.DIMENSIONS, 2))
     vault = F.try_element_at(literal_map(sh.VAULT_BY_DIMENSIONS), dims)
     tail_kind = F.when(x["seg"]["kind"] == "B", "bfo_rtd").otherwise("afo_rtd")
-    sizes = (sh.conduit_ways(t), sh.conduit_size(t), sh.conduit_method(t))
+    pipe = x["pipe"]
+    sizes = (pipe["ways"], pipe["size"], sh.conduit_method(t))
 
     aerial = (
         F.when(b.contains("COIL"), _event("item", "coil", 1.0))
@@ -105,11 +107,12 @@ def _classify(x: Column) -> Column:
     span = F.coalesce(feet, sh.to_number(sh.found(b, sh.BARE_SPAN)))
     aerial = aerial.when(span.isNotNull(), _event("span", None, span, count=x["seg"]["count"])).otherwise(ignored)
 
-    conduit_feet = sh.conduit_feet(t)
+    conduit_feet = pipe["feet"]
     counted = F.lit(None)
     for mark, item in registry.COUNTED_CODES.items():
         counted = F.when(sh.starts_word(b, mark), F.lit(item)).otherwise(counted)
-    drop_vaults = sh.found(b, sh.VAULT_LETTERED).try_cast("double")
+    drop_vault, pedestal = sh.squeezed(b, "./()-"), sh.squeezed(b, "()-")
+    drop_vaults = sh.found(drop_vault, sh.DROP_VAULT).try_cast("double")
 
     return (
         F.when(t == "", ignored)
@@ -125,15 +128,15 @@ def _classify(x: Column) -> Column:
         .when(x["conduit"], F.when(conduit_feet.isNotNull(), _event("conduit", None, conduit_feet, *sizes))
               .otherwise(_event("spec", None, None, *sizes)))
         .when(sh.starts_word(b, "PLOW", "BORE", "TRENCH", "DP", "DPD", "MB") & (run_feet != 0), _event("run", None, run_feet, method=sizes[2]))
-        .when(b.startswith("HST"), F.when(t.rlike(sh.TERMINAL), _event("item", sh.tail_item(sh.found(t, sh.TERMINAL, 2)), 1.0)).otherwise(review))
+        .when(b.startswith("HST"), F.when(t.rlike(sh.TERMINAL), _event("item", sh.tail_item(sh.found(t, sh.TERMINAL)), 1.0)).otherwise(review))
         .when(b.contains("RTD"), F.when(ft != 0, _event("item", tail_kind, ft))
-              .when(b.rlike(sh.TAIL_UNIT), _event("item", sh.tail_item(sh.found(b, sh.TAIL_UNIT, 2)), 1.0)).otherwise(review))
+              .when(b.rlike(sh.TAIL_UNIT), _event("item", sh.tail_item(sh.found(b, sh.TAIL_UNIT)), 1.0)).otherwise(review))
         .when(sh.starts_word(b, "DG"), _event("guy", "down_guy", n))
         .when(b.contains("ANCHOR"), _event("item", "anchor", n))
-        .when(b.startswith("BHF") & b.rlike(sh.VAULT_LETTERED), _event("item", "handhole_PH", F.coalesce(drop_vaults, n)))
-        .when(b.startswith("BHF") & b.rlike(sh.VAULT_SIZED),
-              _event("item", F.concat(F.lit("handhole_"), F.regexp_extract(b, sh.VAULT_SIZED, 1), F.regexp_extract(b, sh.VAULT_SIZED, 2)), n))
-        .when(b.startswith("BD") & b.rlike(sh.PEDESTAL), _event("item", F.concat(F.lit("pedestal_"), F.upper(sh.found(b, sh.PEDESTAL))), n))
+        .when(b.startswith("BHF") & drop_vault.rlike(sh.DROP_VAULT), _event("item", "handhole_PH", F.coalesce(drop_vaults, n)))
+        .when(b.startswith("BHF") & b.rlike(sh.VAULT),
+              _event("item", F.concat(F.lit("handhole_"), F.regexp_extract(b, sh.VAULT, 1), F.regexp_extract(b, sh.VAULT, 2)), n))
+        .when(b.startswith("BD") & pedestal.rlike(sh.PEDESTAL), _event("item", F.concat(F.lit("pedestal_"), sh.found(pedestal, sh.PEDESTAL)), n))
         .when(t.contains("X") & t.rlike(sh.DIMENSIONS),
               F.when(vault.isNotNull(), _event("item", F.concat(F.lit("handhole_"), vault), 1.0)).otherwise(review))
         .when(counted.isNotNull(), _event("item", counted, n))
@@ -141,7 +144,7 @@ def _classify(x: Column) -> Column:
         .when(b.contains("SPLICE"), review)
         .when(sh.starts_word(b, "TRAN1", "TRAN2", "TRANS1", "TRANS2"), _event("item", "transfer", n))
         .when(F.element_at(F.split(b, r"[\s\-:=]"), 1).isin(*sh.STATION_WORDS), ignored)
-        .when((b == "") | b.rlike(sh.MARKED_NUMBER), ignored)
+        .when((b == "") | b.rlike(sh.POSITION), ignored)
         .otherwise(review)
     )
 
@@ -149,7 +152,7 @@ def _classify(x: Column) -> Column:
 # --- reading a comment -------------------------------------------------------
 def token_events(split: DataFrame) -> DataFrame:
     """One array of (raw, pos, event) per comment, plus what its tokens say together."""
-    kept = split.filter(~_is_excluded())
+    kept = split.filter(~is_excluded())
     spelled = kept.withColumn("tok", F.transform("tokens", lambda raw: F.struct(raw.alias("raw"), sh.canonical(raw).alias("t"))))
     halved = spelled.withColumn(
         "tok", F.transform("tok", lambda x: F.struct(x["raw"].alias("raw"), x["t"].alias("t"), sh.counted(x["t"]).alias("counted")))
@@ -185,7 +188,7 @@ def _in_segments(s: Column) -> Column:
 
     def place(x: Column, i: Column) -> Column:
         seg = F.try_element_at(F.filter(s["headers"], lambda h: h["pos"] <= i), F.lit(-1))
-        return F.struct(*[x[c].alias(c) for c in ("raw", "t", "n", "b", "ft", "conduit")],
+        return F.struct(*[x[c].alias(c) for c in ("raw", "t", "n", "b", "ft", "conduit", "pipe")],
                         seg.alias("seg"), F.coalesce(seg["pos"] == i, F.lit(False)).alias("header"))
 
     return F.transform(s["tok"], place)
@@ -193,8 +196,8 @@ def _in_segments(s: Column) -> Column:
 
 def _base_bores() -> Column:
     """Footages of single-pipe bores the comment states itself."""
-    explicit = F.filter("tok", lambda x: x["conduit"] & (sh.conduit_method(x["t"]) == "DP") & (F.coalesce(sh.conduit_ways(x["t"]), F.lit(1)) == 1))
-    return F.array_compact(F.transform(explicit, lambda x: sh.conduit_feet(x["t"])))
+    explicit = F.filter("tok", lambda x: x["conduit"] & (sh.conduit_method(x["t"]) == "DP") & (F.coalesce(x["pipe"]["ways"], F.lit(1)) == 1))
+    return F.array_compact(F.transform(explicit, lambda x: x["pipe"]["feet"]))
 
 
 def _pairs(item: Column, amount: Column) -> Column:

@@ -11,7 +11,7 @@ from tallyline.config import Matching
 from tallyline.functions.numbers import exact_sum
 from tallyline.functions.text import normalize
 from tallyline.operators.annotations import registry
-from tallyline.operators.annotations.classify import excluded_comments, unresolved
+from tallyline.operators.annotations.classify import is_excluded
 from tallyline.operators.crosswalk import resolve
 from tallyline.operators.rollup import join_null_safe
 
@@ -73,17 +73,12 @@ def asbuilt_lines(
 
 
 def record_counts(split: DataFrame, events: DataFrame, keys: Sequence[str] = DOCUMENT) -> DataFrame:
-    """Comments, excluded comments and unresolved tokens per document."""
-    return (
-        _count(split, "n_records", keys)
-        .join(_count(excluded_comments(split), "n_excluded", keys), list(keys), "left")
-        .join(_count(unresolved(events), "n_unresolved", keys), list(keys), "left")
-        .fillna(0, ["n_excluded", "n_unresolved"])
-    )
-
-
-def _count(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    """Comments, excluded comments and unresolved tokens per document: comments are grouped
+    once, and what their tokens said once more; no token becomes a row of its own."""
+    told = split.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_records"), F.count_if(is_excluded()).alias("n_excluded"))
+    open_tokens = F.size(F.filter("events", lambda v: v["e"]["kind"] == "unresolved"))
+    unread = events.groupBy(*keys).agg(F.sum(open_tokens).alias("n_unresolved"))
+    return told.join(unread, list(keys), "left").fillna(0, ["n_unresolved"])
 
 
 def _when(condition: Column, *parts) -> Column:

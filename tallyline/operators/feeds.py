@@ -36,14 +36,14 @@ def _extra(grid: DataFrame) -> list[str]:
 def bid_schedule(grid: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Contract items of bid-schedule sheets (header in the first row). A sheet without
     code, description and price columns, or without any item, is an error."""
-    headers = claim_columns(first_row_headers(grid), CONTRACT_WORDS, prefixes=True)
-    require_columns(headers, ("code", "description", "unit_price"), "Bid schedule")
+    claimed, needed = claim_columns(first_row_headers(grid), CONTRACT_WORDS, prefixes=True), ("code", "description", "unit_price")
+    headers = require_columns(claimed, needed, "Bid schedule")
     cells = _body(grid, headers).select(
         *scope, "file", F.col("row_no").cast("bigint").alias("line_no"), *[cell(F.col(f"at_{r}")).alias(r) for r in CONTRACT_WORDS]
     )
     items = contract_items(cells, [*scope, "file"])
     # A sheet without items meets the items as a row that fails when it is read.
-    none = headers.select("file").distinct().join(items.select(F.col("file").alias("__with")).distinct(), F.col("file") == F.col("__with"), "left_anti")
+    none = with_columns(claimed, needed).select("file").distinct().join(items.select(F.col("file").alias("__with")).distinct(), F.col("file") == F.col("__with"), "left_anti")
     fails = F.raise_error(F.concat(F.lit("Bid schedule parsed to zero items: "), F.col("file")))
     failing = none.select("file", *[fails.cast(items.schema[c].dataType).alias(c) for c in items.columns if c != "file"])
     return items.unionByName(failing)

@@ -40,10 +40,20 @@ def test_bid_schedule_columns_and_rows(spark):
     g = grid(spark, {"rates.csv": [["CODE", "UNIT DESCRIPTION", "UNIT", "RATE"], ["A1", "Bore", "per foot", "$9.50"], ["A2", "Vault", None, "1,200"], ["Item", "x", "EA", "1"], ["A3", "no price", "EA", "tbd"], [None, "Subtotal", None, "5"]]})
     items = feeds.bid_schedule(g).orderBy("code").collect()
     assert [(i.code, i.description, i.uom, i.unit_price, i.est_qty) for i in items] == [("A1", "Bore", "FT", 9.5, 0.0), ("A2", "Vault", "EA", 1200.0, 0.0)]
-    with pytest.raises(ValueError, match="not all found"):
-        feeds.bid_schedule(grid(spark, {"bad.csv": [["Code", "Note"], ["A", "b"]]}))
-    with pytest.raises(ValueError, match="zero items"):
-        feeds.bid_schedule(grid(spark, {"none.csv": [["Code", "Description", "Price"], ["A", "b", "n/a"]]}))
+    bad = feeds.bid_schedule(grid(spark, {"bad.csv": [["Code", "Note"], ["A", "b"]]}))  # no job runs before the rows are asked for
+    with pytest.raises(Exception, match=r"not all found in bad.csv \[Code, Note\]"):
+        bad.collect()
+    none = feeds.bid_schedule(grid(spark, {"none.csv": [["Code", "Description", "Price"], ["A", "b", "n/a"]]}))
+    with pytest.raises(Exception, match="zero items: none.csv"):
+        none.collect()
+
+
+def test_a_header_may_stand_in_any_row(spark):
+    deep = [["note", str(i)] for i in range(39)] + [["Description", "Qty"], ["Bore", "5"]]
+    g = grid(spark, {"deep.csv": deep, "without.csv": [["a", "b"], ["c", "d"]]})
+    assert [(r.file, r.header_row) for r in header.find_headers(g).collect()] == [("deep.csv", 39)]
+    assert header.find_headers(g, rows=15).count() == 0
+    assert [(r.file, r.n_rows) for r in header.without_header(g).collect()] == [("without.csv", 2)]
 
 
 def test_csv_files_to_tally_and_invoice(spark, tmp_path):
@@ -84,8 +94,9 @@ def test_archives_skip_what_is_no_invoice_and_direct_files_raise(spark, tmp_path
     lines = feeds.invoice_batch(None, members).orderBy("raw_desc").collect()
     assert [(r.raw_desc, r.amount, r.source_file, r.invoice_id) for r in lines] == [("Bore", 10.0, "inv.csv", "inv"), ("Vault", 7.0, "inv.csv", "inv")]
     (tmp_path / "bad.csv").write_text("hello,world\n1,2\n")
-    with pytest.raises(ValueError):
-        feeds.invoice_batch(read_grid(spark, str(tmp_path / "bad.csv")), members)
+    direct = feeds.invoice_batch(read_grid(spark, str(tmp_path / "bad.csv")), members)
+    with pytest.raises(Exception, match="not all found in bad.csv|not all found in .*bad.csv"):
+        direct.collect()
 
 
 def test_profiles_read_what_cannot_be_detected(spark):

@@ -73,6 +73,40 @@ def test_stream_saves_the_same_cycles_as_a_batch(spark, tmp_path):
     assert store.results().select("code", "built_qty", "billed_qty", "variance", "severity").orderBy("code").collect() == want
 
 
+def test_decisions_survive_lines_that_arrive_later(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    inbox = str(tmp_path / "inbox")
+    lines = golden.invoice_df(spark)
+    log = spark.createDataFrame([(*golden.KEY, "3.1", 1, "hold", "ask", "me", "2025-07-01 10:00")], RESOLUTION_EVENT)
+    store.save_results(golden_rows(spark), review.fold_resolutions(log))
+    store.save_results(golden_rows(spark))  # a save without decisions keeps them
+    lines.coalesce(1).write.mode("append").parquet(inbox)
+    intake.keep_cycles_current(
+        intake.invoice_stream(spark, inbox), store, golden.asbuilt_df(spark), golden.contract_df(spark),
+        checkpoint=str(tmp_path / "progress"), available_now=True).awaitTermination(120)
+    kept = {r.code: (r.resolution, r.resolution_note, r.resolved_by) for r in store.results().collect()}
+    assert kept["3.1"] == ("hold", "ask", "me") and sum(v[0] is not None for v in kept.values()) == 1
+
+
+def test_stream_follows_the_billing_mode_and_the_prior_cycle(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    inbox = str(tmp_path / "inbox")
+    first = golden_rows(spark)
+    store.save_results(first)
+    later = golden.invoice_df(spark).withColumn("cycle_no", F.col("cycle_no") + 1)
+    built = golden.asbuilt_df(spark).withColumn("cycle_no", F.col("cycle_no") + 1)
+    cycles = later.select("project_id", "contractor_id", "cycle_no").distinct().withColumn("billing_mode", F.lit("cumulative"))
+    later.coalesce(1).write.mode("append").parquet(inbox)
+    before = first.select("code", F.col("billed_qty").alias("was")).filter("code is not null")
+    intake.keep_cycles_current(
+        intake.invoice_stream(spark, inbox), store, built, golden.contract_df(spark), cycles=cycles,
+        checkpoint=str(tmp_path / "progress"), available_now=True).awaitTermination(120)
+    number = later.first().cycle_no
+    saved = store.results().filter(F.col("cycle_no") == number)
+    assert saved.join(before, "code").filter("billed_qty = was").count() == before.count()
+    assert {c.cycle_no for c in store.results().select("cycle_no").distinct().collect()} == {number - 1, number}
+
+
 def test_stream_drops_repeats_within_the_horizon(spark, tmp_path):
     inbox = str(tmp_path / "inbox")
     golden.invoice_df(spark).coalesce(1).write.mode("append").parquet(inbox)
