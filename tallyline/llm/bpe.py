@@ -10,6 +10,7 @@ as many bytes as the longest token has.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,10 @@ from tallyline.llm.merges import merged
 from tallyline.llm.pretokens import Bounded, Splitter
 
 
+#: Lengths of prefixes whose last tokens are remembered, longest first, and how many prefixes and pairs of tokens are.
+HEADS, REMEMBERED = (12, 8, 4), 100_000
+
+
 class RankTable:
     """Tokens by rank, those that merging reaches, and which two stay beside each other."""
 
@@ -32,6 +37,7 @@ class RankTable:
         self.bytes_of = {i: t for t, i in self.rank.items()}
         self.reached = {t: i for t, i in self.rank.items() if self.by_merges(t) == [i]}
         self.longest = max(map(len, self.reached))
+        self.halves = {i: self._halves(t) for t, i in self.reached.items() if len(t) > 1}
         lengths: dict[bytes, set[int]] = {}
         for t in self.reached:
             lengths.setdefault(t[-3:], set()).add(len(t))
@@ -40,11 +46,12 @@ class RankTable:
         self._wake()
 
     def _wake(self) -> None:
-        self._beside = Bounded(self._stay, 2_000_000)
-        self._packed = Bounded(lambda piece: np.array(self.encode_piece(piece.encode()), "<i4").tobytes())
+        self._beside: dict[tuple[int, int], bool] = {}
+        self._last: dict[bytes, tuple[int, ...]] = {}
+        self._packed = Bounded(lambda piece: array("i", self.encode_piece(piece.encode())).tobytes(), 120_000)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_beside", "_packed")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_beside", "_last", "_packed")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -54,21 +61,68 @@ class RankTable:
         """The plain definition: neighbours of lowest joint rank merge first."""
         return [self.rank[t] for t in merged([data[i : i + 1] for i in range(len(data))], self.rank.get)]
 
+    def _halves(self, token: bytes) -> tuple[int, int]:
+        """The two tokens whose merge makes this one."""
+        apart = merged([token[i : i + 1] for i in range(len(token))], lambda t, never: never if t == token else self.rank.get(t, never))
+        return tuple(self.rank[t] for t in apart)
+
+    def stays(self, x: int, y: int) -> bool:
+        """Whether two tokens beside each other are what their joint bytes encode to.
+
+        Merges run in order of rank, so the symbols on both sides of the border are met again,
+        latest first, by taking the younger of the two apart. A merge across the border would
+        have come first if its rank is under that of the merge that took the left symbol, and
+        not over that of the merge that took the right one.
+        """
+        rank, data, halves = self.rank.get, self.bytes_of, self.halves
+        of_x = of_y = 1 << 62
+        while True:
+            across = rank(data[x] + data[y])
+            if across is not None and across < of_x and across <= of_y:
+                return False
+            if x in halves and (y not in halves or x > y):
+                of_x, x = x, halves[x][1]
+            elif y in halves:
+                of_y, y = y, halves[y][0]
+            else:
+                return True
+
     def _stay(self, pair: tuple[int, int]) -> bool:
-        return self.by_merges(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]) == list(pair)
+        if len(self._beside) >= REMEMBERED:
+            self._beside.clear()
+        stays = self._beside[pair] = self.stays(*pair)
+        return stays
 
     def fill(self, data: bytes, last: list[int]) -> None:
-        """Adds the last tokens of the prefixes of data that have none yet (last[i] belongs to data[:i + 1])."""
-        reached, beside, lengths = self.reached, self._beside, self.lengths
+        """Adds the last tokens of the prefixes of data that have none yet (last[i] belongs to data[:i + 1]).
+
+        A prefix has the same last tokens in whatever it begins, so those of some lengths are remembered.
+        """
+        known = self._last
+        if not last:
+            for n in HEADS:
+                if len(data) >= n and (head := known.get(data[:n])):
+                    last += head
+                    break
+        if len(known) >= REMEMBERED:
+            known.clear()
         for end in range(len(last) + 1, len(data) + 1):
-            for n in lengths.get(data[end - 3 : end], (2, 1)) if end > 2 else (2, 1)[2 - end :]:
-                if n <= end and (part := data[end - n : end]) in reached:
-                    token = reached[part]
-                    if n == end or beside[last[end - n - 1], token]:
-                        last.append(token)
-                        break
-            else:
-                raise ValueError("the ranks hold no token for a byte")
+            last.append(self.last_token(data, last, end))
+            if end in HEADS:
+                known[data[:end]] = tuple(last)
+
+    def last_token(self, data: bytes, last: list[int], end: int) -> int:
+        """The last token of data[:end], given those of all shorter prefixes."""
+        reached, beside = self.reached, self._beside.get
+        for n in self.lengths.get(data[end - 3 : end], (2, 1)) if end > 2 else (2, 1)[2 - end :]:
+            if n <= end and (part := data[end - n : end]) in reached:
+                token = reached[part]
+                if n == end:
+                    return token
+                stays = beside(pair := (last[end - n - 1], token))
+                if stays or stays is None and self._stay(pair):
+                    return token
+        raise ValueError("the ranks hold no token for a byte")
 
     def read_back(self, last: list[int]) -> list[int]:
         out, end = [], len(last)
@@ -79,7 +133,11 @@ class RankTable:
 
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self.rank.get(data)  # a piece that is a token is that token, whether merging reaches it or not
-        return [whole] if whole is not None else PrefixTable(self, data).tokens()
+        if whole is not None:
+            return [whole]
+        last: list[int] = []
+        self.fill(data, last)
+        return self.read_back(last)
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as packed 32-bit integers."""

@@ -39,3 +39,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Texts go to Python so many at a time: a batch's memory is theirs, and some are very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -161,6 +161,19 @@ def scored(trees: Trees, spark):
     return score
 
 
+def scored_texts(trees: Trees, spark):
+    """A function of a text column giving the score at once."""
+    shared = spark.sparkContext.broadcast(trees)
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            x = np.array([statistics(t.as_py()) for t in pc.fill_null(texts, "")], float).reshape(len(texts), len(STATISTICS))
+            yield pa.array(shared.value.score(x) if len(x) else [], pa.float64())
+
+    return score
+
+
 def with_statistics(df: DataFrame, text: str = "text", statistics: str = "statistics") -> DataFrame:
     return df.withColumn(statistics, statistics_of()(F.col(text)))
 
@@ -186,5 +199,4 @@ def kept(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "
     """
     known = with_statistics(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "statistics")
     trees = learn(known, labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")), "doc_id", "label", most)
-    score = scored(trees, df.sparkSession)(statistics_of()(F.col(text)))
-    return df.where(score >= threshold)
+    return df.where(scored_texts(trees, df.sparkSession)(F.col(text)) >= threshold)

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import bpe, decontamination, fingerprints, licenses, quality, shards, simhash, substrings, tokens, warc
+from tallyline.llm.frames import small_batches
 
 SUM_TABLE = "byte_bpe_50k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tallyline.llm.frames import shuffle_partitions
 from tallyline.llm.pretokens import Bounded
 
-#: Windows that a task holds before it combines them.
-_HELD = 1 << 20
+#: Windows that a task holds before it puts them into its sketch, and before it combines what it asks.
+_SKETCHED, _HELD = 1 << 17, 1 << 19
 _SLICES = 64
 _A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _NONE = np.empty(0, np.uint64)
@@ -34,7 +34,7 @@ class Windows:
 
     def __init__(self, size: int):
         self.size = size
-        self.word = Bounded(xxhash.xxh3_128_digest)
+        self.word = Bounded(xxhash.xxh3_128_digest, 50_000)
 
     def of(self, words: list[bytes], halves: int = 2) -> list[np.ndarray]:
         n = len(words) - self.size + 1
@@ -118,7 +118,7 @@ def _sketching(size: int, bits: int, rows: int):
             (h,) = windows.of(words_of(text), 1)
             held.append(h)
             n += len(h)
-            if n >= _HELD:
+            if n >= _SKETCHED:
                 sketch = sketch or Sketch(bits, rows)
                 sketch.add(np.concatenate(held))
                 held, n = [], 0
