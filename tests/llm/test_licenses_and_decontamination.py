@@ -93,3 +93,40 @@ def test_items_of_one_and_two_words_are_seeds_as_a_whole(spark):
     docs = spark.createDataFrame([(1, "find uniqueword here"), (2, "not here")], "doc_id int, text string")
     bench = spark.createDataFrame([(1, "uniqueword"), (2, "not here")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontamination.contamination(docs, bench).select(F.col("doc_id"), F.col("item_id")).collect()} == {(1, 1), (2, 2)}
+
+
+def edited(rng, words, kind, every):
+    """Copies with every so-manieth word replaced, left out, or followed by another one."""
+    out = []
+    for i, w in enumerate(words, 1):
+        hit = i % every == 0
+        out += {"replaced": [prose(rng, 1) + "x"] if hit else [w], "left out": [] if hit else [w], "added": [w, prose(rng, 1) + "x"] if hit else [w]}[kind]
+    return out
+
+
+def test_items_are_found_at_every_edit_rate_as_by_plain_alignment(spark):
+    rng = random.Random(31)
+    items = [(i, prose(rng, n)) for i, n in enumerate([*range(1, 13), 16, 20, 25, 31, 40, 59])]
+    texts = [items[14][1]] * 3 + [prose(rng, 3000)]
+    for _, x in items:
+        for kind in ("replaced", "left out", "added"):
+            for every in range(1, 9):
+                copy = " ".join(edited(rng, x.split(), kind, every))
+                texts += [f"{prose(rng, rng.randint(0, 30))} {copy} {prose(rng, rng.randint(0, 30))}"] * rng.randint(1, 3)
+        texts += [" ".join(w for w in x.split() for w in ([w] if rng.random() < 0.8 else rng.choice(([], [prose(rng, 1)], [w, prose(rng, 1)])))) for _ in range(6)]
+    texts += [" ".join([prose(rng, 400), *(" ".join(edited(rng, x.split(), "replaced", 6)) for _, x in items[10:]), prose(rng, 400)])]
+    known = decontamination.Vocabulary()
+    learnt = {i: known.learn(x) for i, x in items}
+    want = {}
+    for d, t in enumerate(texts):
+        words = known.read(t)
+        for i, item in learnt.items():
+            score = local(item, words)[0] / (2 * len(item))
+            if score >= 0.6:
+                want[d, i] = score
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for n in (1, 2, 3):
+        got = {(r.doc_id, r.item_id): r.score for r in decontamination.contamination(docs, bench, n=n).collect()}
+        assert got == want
+    assert sum(0.6 <= s < 0.7 for s in want.values()) > 30
