@@ -14,7 +14,6 @@ in proportion to its size, and its component stays the same.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm.components import components
-from tallyline.llm.frames import settled, stored
+from tallyline.llm.frames import settled
 
 _PART = 1 << 15  # shingles hashed at a time, so that a very long text needs no more memory
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -129,66 +128,26 @@ def close_links(prints: DataFrame, lanes: int, blocks: int, agree: int, most: in
     return stars.unionByName(rest).distinct()
 
 
-def likely_links(prints: DataFrame, lanes: int, blocks: int, most: int) -> DataFrame:
-    """As close_links, for long fingerprints whose close pairs differ in more bits than there are blocks.
-
-    A pair with a share p of its bits differing has b equal bits with chance (1 - p)**b, so of
-    n blocks of b bits it shares one with chance 1 - (1 - (1 - p)**b)**n. Only one lane of a
-    fingerprint goes through the join on blocks, where a wide bound on its distance drops what
-    met by accident; the pairs left are held against whole fingerprints.
-    """
-    share = most / (64 * lanes)
-    wide = math.ceil(64 * share + 4 * math.sqrt(64 * share * (1 - share)))
-    rows = prints.select("node", F.col("fp")[0].alias("lane"), F.explode(block_keys(64 * lanes, blocks, 1)(F.col("fp"))).alias("key"))
-    keyed = rows.select("key.which", "key.bits", "node", "lane")
-    heads = keyed.groupBy("which", "bits").agg(F.min("node").alias("head"), F.min_by("lane", "node").alias("head_lane"), F.count(F.lit(1)).alias("n"))
-    near_head = F.bit_count(F.col("lane").bitwiseXOR(F.col("head_lane"))) <= wide
-    held = stored(keyed.join(heads, ["which", "bits"]).select("which", "bits", "node", "lane", "head", "n", ((F.col("node") != F.col("head")) & near_head).alias("by_head")), "blocks").where("n > 1")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        x, y = (prints.select(F.col("node").alias(n), F.col("fp").alias(f)) for n, f in (("a", "fa"), ("b", "fb")))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", (distance("fa", "fb", lanes) <= most).alias("close"))
-
-    tried = settled(verified(held.where("by_head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()))
-    failed = tried.where("not close").select(F.col("a").alias("node"), F.col("b").alias("head"))
-    apart = held.where("not by_head and node != head").unionByName(held.where("by_head").join(failed, ["node", "head"], "left_semi").select(*held.columns))
-    x = apart.select("which", "bits", F.col("node").alias("a"), F.col("lane").alias("la"))
-    y = held.where("node != head").select("which", "bits", F.col("node").alias("b"), F.col("lane").alias("lb"))
-    near = F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) <= wide
-    met = x.join(y, (x["which"] == y["which"]) & (x["bits"] == y["bits"]) & (F.col("a") != F.col("b")) & near)
-    rest = verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return tried.where("close").select("a", "b").unionByName(rest.where("close").select("a", "b"))
-
-
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", fp: str = "fp", component: str = "component_id", size: int = 3, seed: int = 42, lanes: int = 1, blocks: int = 5, agree: int = 2, most: int = 3) -> DataFrame:
     """(doc_id, fp, component): the smallest doc_id that links reach from a document, itself included.
 
     A null text, an empty one and one of white space only have fingerprint zero and link like
     any other. Documents without id belong to their fingerprint's group but never name one; a
     group of only such has a null component. Repeated rows come back as often as they were
-    given. An empty table gives an empty result. Other columns of df play no part. With more
-    than one lane the links are those of likely_links.
+    given. An empty table gives an empty result. Other columns of df play no part.
     """
     docs = settled(df.select(F.col(doc_id).alias("id"), fingerprints(size, seed, lanes)(F.col(text)).alias("fp")))
     classes = settled(docs.groupBy("fp").agg(F.min("id").alias("first")).withColumn("node", F.col("fp")[0] if lanes == 1 else F.xxhash64("fp")))
     prints = classes.select("node", "fp")
-    links = close_links(prints, lanes, blocks, agree, most) if lanes == 1 else likely_links(prints, lanes, blocks, most)
-    found = components(links, "a", "b")
+    found = components(close_links(prints, lanes, blocks, agree, most), "a", "b")
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     of_print = named.join(least, "component").select("fp", "least")
     return docs.join(of_print, "fp").select(F.col("id").alias(doc_id), F.col("fp").alias(fp), F.col("least").alias(component))
 
 
-def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, lanes: int = 8, blocks: int = 32, most: int = 85) -> DataFrame:
-    """The rows of df, all of its columns, that are first of their group: the smallest doc_id.
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, **more) -> DataFrame:
+    """As alike.one_of_each: the rows of df that are first of their group of texts with five-word shingles 0.8 alike."""
+    from tallyline.llm import alike
 
-    Groups are of documents whose sets of five-word shingles are about 0.8 alike or more: then
-    some 78 of 512 bits differ, and 85 are allowed for chance. Texts of such a pair share one
-    of the 32 blocks with a chance of 0.9, and of 0.99 at 0.9 alike. Of repeated rows of one
-    id one stays. Rows without id are no group's first and all stay.
-    """
-    pairs = near_duplicates(df.select(doc_id, text), doc_id, text, fp="fp", component="component", size=size, lanes=lanes, blocks=blocks, agree=1, most=most)
-    first = pairs.select(F.col("component").alias("first id")).where(F.col("first id").isNotNull()).distinct()
-    named = df.join(first, df[doc_id] == F.col("first id"), "left_semi").dropDuplicates([doc_id])
-    return named.unionByName(df.where(F.col(doc_id).isNull()))
+    return alike.one_of_each(df, doc_id, text, size, **more)

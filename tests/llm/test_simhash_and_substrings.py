@@ -144,3 +144,24 @@ def test_rows_keep_their_columns_when_passages_are_cut(docs, rows):
     assert got.columns == docs.columns and len(out) == len(rows)
     assert {(r.doc_id, r.text) for r in out if r.n_chars == len(r.text or "") and (r.doc_id, r.text) in want} == want
     assert sum((r.doc_id, r.text) in {(x[0], x[1]) for x in rows} for r in out) == len(rows) - sum(1 for x in plain_cut([(r[0], r[1]) for r in rows]) if x[2])
+
+
+def test_sets_decide_what_is_alike_however_often_a_line_repeats(spark):
+    rng = random.Random(21)
+    line = prose(rng, 10)
+    base = prose(rng, 150)
+    texts = [f"{prose(rng, 200)} {' '.join([line] * 20)}" for _ in range(6)]  # alike in one line only
+    texts += [base, f"{base} {' '.join([line] * 15)}"]  # 0.9 alike
+    texts += ["a b c d e f g h", "a b c d e f g h i", "one two", "One  two", "", None]  # 4 of 5 shingles; equal; without words
+    for _ in range(60):  # all similarities between 0.6 and 1
+        words = prose(rng, rng.randint(8, 120)).split()
+        texts.append(" ".join(words))
+        for _ in range(3):
+            at = rng.randrange(len(words))
+            texts.append(" ".join(words[: at + 1] + [prose(rng, rng.randint(1, 1 + len(words) // 20))] * rng.randint(0, 4) + words[at + rng.randint(1, 3) :]))
+    sets = [set(simhash.shingles((t or "").encode().lower().split(), 5)) for t in texts]
+    share = {(i, j): len(a & b) / len(a | b) if a | b else 1.0 for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j}
+    group = union(range(len(texts)), [p for p, s in share.items() if s >= 0.8])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == set(group.values())
+    assert sum(0.8 <= s < 0.85 for s in share.values()) > 5 and sum(0.7 < s < 0.8 for s in share.values()) > 5
