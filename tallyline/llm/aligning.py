@@ -72,6 +72,16 @@ def banded(item: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tupl
     return total, first, last
 
 
+def words_of(text: str) -> list[str]:
+    """The words, each in lower case by itself: so many and where they stand in the text, whatever lower case does to lengths."""
+    return WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in WORD.findall(text)]
+
+
+def spans_of(text: str) -> list[tuple[int, int]]:
+    """Where the words begin and end."""
+    return [m.span() for m in WORD.finditer(text)]
+
+
 class Vocabulary:
     """Numbers, from 1, for the words of a few known texts; any other word is 0."""
 
@@ -79,13 +89,11 @@ class Vocabulary:
         self.number: dict[str, int] = {}
 
     def learn(self, text: str) -> np.ndarray:
-        return np.array([self.number.setdefault(w, len(self.number) + 1) for w in WORD.findall(text.lower())], np.int64)
+        return np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)], np.int64)
 
     def read(self, text: str) -> np.ndarray:
-        """Lower-casing that changes the length of a text is left out, so that positions hold."""
-        low = text.lower()
         get = self.number.get
-        return np.array([get(w, 0) for w in WORD.findall(low if len(low) == len(text) else text)], np.int64)
+        return np.array([get(w, 0) for w in words_of(text)], np.int64)
 
 
 def grams(words: np.ndarray, n: int, base: int) -> tuple[np.ndarray, np.ndarray]:

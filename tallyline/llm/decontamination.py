@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.aligning import WORD, Vocabulary, grams, local
+from tallyline.llm.aligning import Vocabulary, grams, local, spans_of
 
 #: Bytes of items that are sent to all tasks at once; more items go in rounds of so many.
 ROUND_BYTES = 8 << 20
@@ -114,7 +114,7 @@ class Items:
                     found[k] = score, a + x, a + y, same
         if not found:
             return []
-        spans = [m.span() for m in WORD.finditer(text.lower() if len(text.lower()) == len(text) else text)]
+        spans = spans_of(text)
         out = [
             {"item_id": self.items[k][0], "score": score / (2 * len(self.items[k][1])), "matched_words": same, "item_words": len(self.items[k][1]), "start": spans[a][0], "end": spans[b - 1][1]}
             for k, (score, a, b, same) in found.items()

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.aligning import WORD, Vocabulary, banded, grams
+from tallyline.llm.aligning import Vocabulary, banded, grams, spans_of
 
 #: Notices by which common licenses are granted, as their publishers word them.
 TEMPLATES = {
@@ -86,7 +86,7 @@ class Index:
                 done = d
                 matched, first, last = banded(template, words, d + band // 2, band)
                 if matched >= least * len(template):
-                    spans = spans or [m.span() for m in WORD.finditer(text.lower() if len(text.lower()) == len(text) else text)]
+                    spans = spans or spans_of(text)
                     out.append((first, last, matched, t, name, matched / len(template)))
         # of finds that overlap, the one with more matched words stays, then the one of higher coverage
         kept: list[tuple] = []

@@ -130,3 +130,14 @@ def test_items_are_found_at_every_edit_rate_as_by_plain_alignment(spark):
         got = {(r.doc_id, r.item_id): r.score for r in decontamination.contamination(docs, bench, n=n).collect()}
         assert got == want
     assert sum(0.6 <= s < 0.7 for s in want.values()) > 30
+
+
+def test_a_character_whose_lower_case_is_longer_hides_nothing(spark):
+    rng = random.Random(5)
+    apache, item = licenses.TEMPLATES["apache-2.0-notice"], "When The Harbour Of \u0130zmir Opened Again Nobody Had Counted The Old Ships"
+    texts = [f"\u0130stanbul {apache}", f"{prose(rng, 8)} \u0130ki {item.upper()} {prose(rng, 4)}", f"{prose(rng, 8)} {item}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert [(r.license, r.coverage, texts[0][r.start : r.end]) for r in licenses.license_finds(df).collect()] == [("apache-2.0-notice", 1.0, apache[:-1])]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.score, texts[r.doc_id][r.start : r.end]) for r in decontamination.contamination(df, bench).collect()}
+    assert got == {1: (1.0, item.upper()), 2: (1.0, item)}
