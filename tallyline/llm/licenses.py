@@ -1,8 +1,10 @@
-"""License scans: winnowed fingerprints of templates pick candidates, a banded alignment reports coverage and spans.
+"""License scans: winnowed fingerprints and shared words pick candidates, a banded alignment reports coverage and spans.
 
 Of every window of k-gram hashes of a template the smallest is kept, in an inverted index with
 its places. A document's k-grams are all looked up, so a run of k + window - 1 words of a
 template is always found. Places that agree on where the template would begin are aligned.
+Copies without such a run are found by their words: where a stretch as long as the template and
+the band has as many of its words as coverage asks for, all diagonals are aligned.
 """
 
 from __future__ import annotations
@@ -64,17 +66,39 @@ class Index:
             for at in winnowed([g * 0x9E3779B97F4A7C15 % 2**64 for g in found.tolist()], window):
                 self.places.setdefault(int(found[at]), []).append((t, at))
         self.wanted = np.sort(np.fromiter(self.places, np.uint64))
+        self.member = np.zeros((len(self.templates), self.base), bool)
+        for t, (_, words) in enumerate(self.templates):
+            self.member[t, words] = True
+
+    def by_words(self, words: np.ndarray, least: float, band: int) -> Iterator[tuple[int, int]]:
+        """(template, diagonal), ascending: bands round them hold all copies of coverage `least` whose diagonals are within `band` of each other."""
+        if not (words != 0).any():
+            return
+        held = self.member[:, words]
+        for t in np.flatnonzero(held.sum(axis=1) >= [least * len(w) for _, w in self.templates]):
+            template = self.templates[t][1]
+            n, length = len(template), len(template) + band
+            total = np.r_[0, np.cumsum(held[t])]
+            begins = np.arange(1 - length, len(words))
+            many = total[np.minimum(begins + length, len(words))] - total[np.maximum(begins, 0)]
+            done = None
+            for d in begins[many >= least * n].tolist():  # a copy of diagonals d to d + band has its words in d to d + length
+                if done is not None and d <= done + band // 2:
+                    continue
+                done = d
+                part = words[max(0, d - band) : max(0, d + n + 2 * band)]
+                if np.isin(template, part).sum() >= least * n:
+                    yield int(t), d
 
     def scan(self, text: str, least: float, band: int) -> list[dict]:
         words = self.vocabulary.read(text)
         at, gram = grams(words, self.k, self.base)
-        if not len(at) or not len(self.wanted):
-            return []
-        near = np.minimum(np.searchsorted(self.wanted, gram), len(self.wanted) - 1)
         begins: dict[int, list[int]] = {}
-        for i in np.flatnonzero(self.wanted[near] == gram):
-            for t, place in self.places[int(gram[i])]:
-                begins.setdefault(t, []).append(int(at[i]) - place)
+        if len(at) and len(self.wanted):
+            near = np.minimum(np.searchsorted(self.wanted, gram), len(self.wanted) - 1)
+            for i in np.flatnonzero(self.wanted[near] == gram):
+                for t, place in self.places[int(gram[i])]:
+                    begins.setdefault(t, []).append(int(at[i]) - place)
         out = []
         spans = None
         for t, diagonals in begins.items():
@@ -88,9 +112,15 @@ class Index:
                 if matched >= least * len(template):
                     spans = spans or spans_of(text)
                     out.append((first, last, matched, t, name, matched / len(template)))
-        # of finds that overlap, the one with more matched words stays, then the one of higher coverage
+        for t, d in self.by_words(words, least, band):
+            name, template = self.templates[t]
+            matched, first, last = banded(template, words, d + band // 2, band)
+            if matched >= least * len(template):
+                spans = spans or spans_of(text)
+                out.append((first, last, matched, t, name, matched / len(template)))
+        # of finds that overlap, the one with more matched words stays, then the one of higher coverage, then the shorter
         kept: list[tuple] = []
-        for find in sorted(out, key=lambda f: (-f[2], -f[5], f[0], f[4])):
+        for find in sorted(out, key=lambda f: (-f[2], -f[5], f[1] - f[0], f[0], f[4])):
             if all(find[1] <= k[0] or find[0] >= k[1] for k in kept):
                 kept.append(find)
         return [{"license": f[4], "coverage": f[5], "matched_words": f[2], "template_words": len(self.templates[f[3]][1]), "start": spans[f[0]][0], "end": spans[f[1] - 1][1]} for f in sorted(kept)]

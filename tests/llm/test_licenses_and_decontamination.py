@@ -141,3 +141,23 @@ def test_a_character_whose_lower_case_is_longer_hides_nothing(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = {r.doc_id: (r.score, texts[r.doc_id][r.start : r.end]) for r in decontamination.contamination(df, bench).collect()}
     assert got == {1: (1.0, item.upper()), 2: (1.0, item)}
+
+
+def test_every_variant_of_coverage_0_8_is_found_as_by_plain_alignment():
+    rng = random.Random(13)
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, template in licenses.TEMPLATES.items():
+        words = re.findall(r"\w+", template)
+        variants = []
+        for i in range(len(words)):
+            variants += [words[:i] + ["zzz"] + words[i + 1 :], words[:i] + words[i + 1 :], words[: i + 1] + ["zzz"] + words[i + 1 :]]
+        spread = set(rng.sample(range(len(words)), min(8, len(words) - 1)))
+        variants.append([x for i, w in enumerate(words) for x in ([w, "zzz"] if i in spread else [w])])
+        variants += [["zzz" if i % 5 == k else w for i, w in enumerate(words)] for k in range(5)]
+        for v in variants:
+            text = " ".join([prose(rng, 20), *v, prose(rng, 20)])
+            matched = sum(w != "zzz" for w in v)
+            if len(words) <= 8:
+                assert matched <= slow_common(index.vocabulary.read(template), index.vocabulary.read(text), 12, 28)
+            if matched >= 0.8 * len(words):  # a longer notice that overlaps may stand for it
+                assert any(f["matched_words"] >= matched for f in index.scan(text, 0.8, 8)), (name, v)
