@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import bpe, decontamination, fingerprints, licenses, quality, shards, simhash, substrings, tokens, warc
-from tallyline.llm.frames import small_batches
+from tallyline.llm import bpe, decontamination, filter_audit, fingerprints, infill, licenses, quality, shards, simhash, substrings, token_files, tokens, warc
+from tallyline.llm.frames import fresh_path, small_batches
 
 SUM_TABLE = "byte_bpe_50k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORD_TABLE, END = "word_bpe_49k.json", 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +81,34 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def word_encoder(name: str = WORD_TABLE) -> token_files.WordEncoder:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return token_files.WordEncoder(f.read())
+
+
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), path, word_encoder(), end=END)
+    read = token_files.tokens_of(spark, path)
+    return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", token_files.ids_crc32(F.col("ids")).alias("ids_crc32"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fim.*")
+    back = infill.restored(F.col("output"), F.col("form"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 #: The same in SQL, where it can be said: trees, merges, gear and XXH64 hashes and alignments can't, and are held against brute force in tests.
 _OP4 = """WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
@@ -113,9 +142,32 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed
   sha256(array_to_string(CASE WHEN n IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(js, i)) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN per USING (doc_id)"""
 
-SQL = {"op4_warc": _OP4, "op6_sharding": _OP6, "op10_substring_dedup": _OP10}
+_OP12 = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+g AS (SELECT doc_id, t, n, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y, CAST('0x' || h[17:24] AS BIGINT) % 100 AS h3, CAST('0x' || h[25:32] AS BIGINT) % 100 AS h4 FROM d),
+f AS (SELECT doc_id, t, n, least(x, y) AS a, greatest(x, y) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substring(t, 1, a) || '<S>' || substring(t, b + 1) || '<M>' || substring(t, a + 1, b - a)
+    ELSE '<S>' || substring(t, b + 1) || '<P>' || substring(t, 1, a) || '<M>' || substring(t, a + 1, b - a) END) AS output_sha256, sha256(t) AS restored_sha256 FROM f"""
+
+_OP13 = r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws FROM documents),
+firsts AS (SELECT t, min(doc_id) AS f FROM d GROUP BY t),
+l AS (SELECT doc_id, max(quality) AS good, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT d.doc_id, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > f, false)] AS bad,
+    coalesce(good = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic FROM d JOIN firsts USING (t) LEFT JOIN l ON d.doc_id = l.doc_id),
+cells AS (SELECT part, bad, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, bad),
+x AS (SELECT unnest(range(1, 6)) AS i),
+perms AS (SELECT [a.i, b.i, c.i, e.i, g.i] AS p FROM x a, x b, x c, x e, x g WHERE len(list_distinct([a.i, b.i, c.i, e.i, g.i])) = 5),
+placed AS (SELECT part, p, n, good, toxic, bad, s.i AS step, bad[p[s.i]] AS fails, coalesce(list_bool_or(list_transform(p[1:s.i - 1], lambda k: bad[k])), false) AS earlier, len(list_filter(bad, lambda v: v)) AS failed FROM cells, perms, x s),
+r AS (SELECT part, p, step, sum(CASE WHEN NOT fails AND NOT earlier THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT earlier THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails AND earlier THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails AND failed = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN fails AND NOT earlier THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT earlier THEN toxic ELSE 0 END) AS toxic_lost FROM placed GROUP BY part, p, step)
+SELECT part, array_to_string(list_transform(p, lambda k: substr('ABCDE', k, 1)), '') AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, p[step]) AS BIGINT) AS shapley FROM r"""
+
+SQL = {"op4_warc": _OP4, "op6_sharding": _OP6, "op10_substring_dedup": _OP10, "op12_fill_in_middle": _OP12, "op13_filter_audit": _OP13}
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_document_fingerprints, op3_license_scans, op4_warc, op5_byte_bpe, op6_sharding, op7_decontamination, op8_quality, op9_simhash, op10_substring_dedup)
+    for f in (op1_token_counts, op2_document_fingerprints, op3_license_scans, op4_warc, op5_byte_bpe, op6_sharding, op7_decontamination, op8_quality, op9_simhash, op10_substring_dedup, op11_token_files, op12_fill_in_middle, op13_filter_audit)
 }
