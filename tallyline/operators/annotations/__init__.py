@@ -1,9 +1,8 @@
 """Comments on marked-up drawings to billable quantities.
 
-A comment is a short list of tokens, so everything that depends on its neighbours (the
-open cable segment, a conduit size waiting for its footage, an overlash that replaces
-placement) is settled inside the row with array functions. No shuffle happens before the
-quantities are added up per document and item.
+Comments are shuffled once, by all their columns, and stay where they are from then on: each
+shape of a token is read once and joined back, and what a token's neighbours decide comes from
+windows over its comment. Quantities are then added up per document and item.
 """
 
 from tallyline.operators.annotations.classify import comments, excluded_comments, items, notes, token_events, unresolved

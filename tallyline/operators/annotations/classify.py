@@ -1,8 +1,14 @@
-"""Tokens of a comment to events, and the events of a comment to billable items."""
+"""Tokens of a comment to events, and the events of a comment to billable items.
+
+Equal comments are one row with their number, tokens of one shape are read once, and what
+depends on a token's neighbours (the open cable segment, a conduit size waiting for its
+footage, explicit anchors, an overlash) is carried along the comment by windows over its
+tokens: time grows with the tokens, however long a comment is.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.text import literal_map, strip
@@ -10,17 +16,23 @@ from tallyline.operators.annotations import registry
 from tallyline.operators.annotations import shorthand as sh
 
 EVENT = ("kind", "item", "count", "size", "method", "amount")
-ITEM_TYPE = "array<struct<item:string,amount:double>>"
+#: Columns that are added to those of the comments.
+OWN = ("copies", "tokens", "pos", "token", "e", "has_anchor", "first_olash", "own_olash", "all_spans", "waiting", "base_stated")
 
 
 # --- tokens ------------------------------------------------------------------
 def comments(annotations: DataFrame) -> DataFrame:
-    """Free-text comments with at least one token, split into tokens."""
+    """Free-text comments with at least one token, split into tokens; `copies` tells how many rows were equal.
+
+    Comments are grouped before anything is read from them, so that all tasks share the reading
+    however few files they come from.
+    """
     source = annotations
     if "subtype" in annotations.columns:
         source = source.filter(F.upper(F.coalesce("subtype", F.lit(""))).contains("FREETEXT"))
     cut = F.filter(F.transform(F.split(strip(F.coalesce("text", F.lit(""))), r"[\r\n]"), sh.tidy), lambda t: t != "")
-    return source.withColumn("tokens", cut).filter(F.size("tokens") > 0)
+    once = source.groupBy(*source.columns).agg(F.count(F.lit(1)).alias("copies"))
+    return once.withColumn("tokens", cut).filter(F.size("tokens") > 0)
 
 
 def is_excluded() -> Column:
@@ -32,25 +44,31 @@ def excluded_comments(split: DataFrame) -> DataFrame:
     return split.filter(is_excluded()).withColumn("text", F.array_join("tokens", " | ")).drop("tokens")
 
 
-# --- reading one token -------------------------------------------------------
-def _read(x: Column) -> Column:
-    """All a token says on its own."""
-    t, body = x["t"], x["counted"]["body"]
-    cable = t.startswith("AFO") | t.startswith("BFO")
-    opens = cable & t.rlike(sh.CABLE) & ~t.rlike(sh.NOT_A_HEADER)
-    return F.struct(
-        x["raw"].alias("raw"),
-        t.alias("t"),
-        x["counted"]["n"].alias("n"),
-        F.when(body == t, t).otherwise(sh.canonical(body)).alias("b"),
-        sh.footage(t).alias("ft"),
-        opens.alias("opens"),
-        F.when(opens, sh.found(t, sh.CABLE, 1)).alias("cable_kind"),
-        F.when(opens, sh.found(t, sh.CABLE, 2).try_cast("int")).alias("cable_count"),
-        (opens & t.contains("IE") & t.rlike(sh.EXISTING_DUCT)).alias("existing"),
-        t.contains("BM60").alias("conduit"),
-        F.when(t.contains("BM60"), sh.conduit(t)).alias("pipe"),
+# --- reading one shape -------------------------------------------------------
+def readings(shapes: DataFrame) -> DataFrame:
+    """All that a token says on its own, for rows (shape); `r` is its event before the comment is known.
+
+    Kinds that the comment settles: `bare` (a number alone), `placed` (footage on the open
+    segment), `buried`, `tail`.
+    """
+    c = F.col
+    out = shapes.withColumn("t", sh.canonical(c("shape"))).withColumn("counted", sh.counted(c("t")))
+    out = out.withColumn("n", c("counted.n")).withColumn("b", F.when(c("counted.body") == c("t"), c("t")).otherwise(sh.canonical(c("counted.body"))))
+    conduit = c("t").contains("BM60")
+    out = out.withColumn("ft", sh.footage(c("t"))).withColumn("parts", F.when(conduit, sh.conduit_parts(c("t")))).withColumn("pipe", F.when(conduit, sh.conduit(c("parts"))))
+    out = out.withColumn("method", sh.conduit_method(c("t")))
+    cable = c("t").startswith("AFO") | c("t").startswith("BFO")
+    opens = cable & c("t").rlike(sh.CABLE) & ~c("t").rlike(sh.NOT_A_HEADER)
+    out = out.withColumn("opens", opens).withColumn("e", _classify())
+    segment = F.struct(
+        F.upper(sh.found(c("t"), sh.CABLE, 1)).alias("kind"), sh.found(c("t"), sh.CABLE, 2).try_cast("int").alias("count"),
+        (c("t").contains("IE") & c("t").rlike(sh.EXISTING_DUCT)).alias("existing"),
     )
+    single = conduit & (c("method") == "DP") & (F.coalesce(c("pipe.ways"), F.lit(1)) == 1)
+    return out.select("shape", F.struct(
+        c("e"), F.when(c("opens"), segment).alias("opened"), F.when(c("opens"), sh.marked_feet(c("t"))).alias("marked"),
+        (c("t").contains("AFO.GAA") | c("t").contains("ANCHOR")).alias("anchor"), F.when(single, c("pipe.feet")).alias("base_feet"), c("b").endswith("'").alias("foot"),
+    ).alias("r"))
 
 
 def _event(kind: str, item: Column | str | None = None, amount: Column | float | None = None, count: Column | None = None,
@@ -64,37 +82,19 @@ def _event(kind: str, item: Column | str | None = None, amount: Column | float |
     )
 
 
-def _buried(x: Column) -> Column:
-    """Item key of buried fiber on the open segment."""
-    suffix = F.when(x["seg"]["existing"], "IE").otherwise("I")
-    known = x["seg"]["count"].isin(*registry.BURIED_COUNTS)
-    return F.when(known, F.concat(F.lit("bfo_"), x["seg"]["count"].cast("string"), F.lit("_"), suffix)).otherwise(F.concat(F.lit("bfo_"), suffix))
-
-
-def _placed(x: Column, amount: Column) -> Column:
-    """Footage on the open segment: aerial waits for the end of the comment."""
-    return F.when(x["seg"]["kind"] == "B", _event("item", _buried(x), amount)).otherwise(_event("span", None, amount, count=x["seg"]["count"]))
-
-
-def _classify(x: Column) -> Column:
+def _classify() -> Column:
     """The event of a token; the first rule that fits decides."""
-    t, b, n, ft = x["t"], x["b"], x["n"], x["ft"]
+    t, b, n, ft = (F.col(c) for c in ("t", "b", "n", "ft"))
     ignored, review = _event("ignored"), _event("unresolved")
     run = sh.trailing(b)
     feet = F.coalesce(ft, run)
     run_feet = F.coalesce(F.nullif(ft, F.lit(0.0)), run)
     rated = F.coalesce(ft, F.lit(0.0))
     number = sh.to_number(sh.found(b, sh.BARE_NUMBER, 1))
-    # A bare number continues the open segment: footage with a foot mark or when it is
-    # small, else a station. No other rule reads such a token, so it is settled first.
-    continued = F.when(b.endswith("'") | (number < sh.FOOTAGE_BELOW), _placed(x, number)).otherwise(ignored)
-    bare = F.when(x["seg"].isNotNull(), continued).when(b.endswith("'"), review).otherwise(ignored)
-    marked = sh.marked_feet(t)
     dims = F.concat_ws("x", sh.found(t, sh.DIMENSIONS, 1), sh.found(t, sh.DIMENSIONS, 2))
     vault = F.try_element_at(literal_map(sh.VAULT_BY_DIMENSIONS), dims)
-    tail_kind = F.when(x["seg"]["kind"] == "B", "bfo_rtd").otherwise("afo_rtd")
-    pipe = x["pipe"]
-    sizes = (pipe["ways"], pipe["size"], sh.conduit_method(t))
+    pipe, conduit = F.col("pipe"), t.contains("BM60")
+    sizes = (pipe["ways"], pipe["size"], F.col("method"))
 
     aerial = (
         F.when(b.contains("COIL"), _event("item", "coil", 1.0))
@@ -105,7 +105,7 @@ def _classify(x: Column) -> Column:
     for mark, item in registry.AERIAL_HARDWARE.items():
         aerial = aerial.when(b.contains(mark), _event("item", item, n))
     span = F.coalesce(feet, sh.to_number(sh.found(b, sh.BARE_SPAN)))
-    aerial = aerial.when(span.isNotNull(), _event("span", None, span, count=x["seg"]["count"])).otherwise(ignored)
+    aerial = aerial.when(span.isNotNull(), _event("span", None, span)).otherwise(ignored)
 
     conduit_feet = pipe["feet"]
     counted = F.lit(None)
@@ -116,20 +116,19 @@ def _classify(x: Column) -> Column:
 
     return (
         F.when(t == "", ignored)
-        .when(x["header"], F.when(marked.isNotNull(), _placed(x, marked)).otherwise(ignored))
-        .when(b.rlike(sh.BARE_NUMBER) & number.isNotNull(), bare)
-        .when((b.contains("/") & b.rlike(sh.DATE)) | (sh.any_of(t, sh.NOTE_HINTS) & ~x["conduit"]), _event("note"))
+        .when(b.rlike(sh.BARE_NUMBER) & number.isNotNull(), _event("bare", None, number))
+        .when((b.contains("/") & b.rlike(sh.DATE)) | (sh.any_of(t, sh.NOTE_HINTS) & ~conduit), _event("note"))
         .when(b.startswith("PM2A") | sh.starts_word(b, "PIPE") | b.rlike(sh.SEPARATOR), ignored)
         .when(t.contains("AFO.OLASH") | sh.starts_word(b, "OLASH"), _event("olash", "olash", ft))
         .when(t.contains("AFO.RELASH"), _event("item", "relash", rated))
         .when(sh.starts_word(b, "AFO"), aerial)
         .when(sh.starts_word(b, "BFO"), F.when(b.contains("RTD"), _event("item", "bfo_rtd", rated))
-              .when(feet.isNotNull(), _event("item", _buried(x), feet)).otherwise(ignored))
-        .when(x["conduit"], F.when(conduit_feet.isNotNull(), _event("conduit", None, conduit_feet, *sizes))
+              .when(feet.isNotNull(), _event("buried", None, feet)).otherwise(ignored))
+        .when(conduit, F.when(conduit_feet.isNotNull(), _event("conduit", None, conduit_feet, *sizes))
               .otherwise(_event("spec", None, None, *sizes)))
         .when(sh.starts_word(b, "PLOW", "BORE", "TRENCH", "DP", "DPD", "MB") & (run_feet != 0), _event("run", None, run_feet, method=sizes[2]))
         .when(b.startswith("HST"), F.when(t.rlike(sh.TERMINAL), _event("item", sh.tail_item(sh.found(t, sh.TERMINAL)), 1.0)).otherwise(review))
-        .when(b.contains("RTD"), F.when(ft != 0, _event("item", tail_kind, ft))
+        .when(b.contains("RTD"), F.when(ft != 0, _event("tail", None, ft))
               .when(b.rlike(sh.TAIL_UNIT), _event("item", sh.tail_item(sh.found(b, sh.TAIL_UNIT)), 1.0)).otherwise(review))
         .when(sh.starts_word(b, "DG"), _event("guy", "down_guy", n))
         .when(b.contains("ANCHOR"), _event("item", "anchor", n))
@@ -150,107 +149,111 @@ def _classify(x: Column) -> Column:
 
 
 # --- reading a comment -------------------------------------------------------
-def token_events(split: DataFrame) -> DataFrame:
-    """One array of (raw, pos, event) per comment, plus what its tokens say together."""
-    kept = split.filter(~is_excluded())
-    spelled = kept.withColumn("tok", F.transform("tokens", lambda raw: F.struct(raw.alias("raw"), sh.canonical(raw).alias("t"))))
-    halved = spelled.withColumn(
-        "tok", F.transform("tok", lambda x: F.struct(x["raw"].alias("raw"), x["t"].alias("t"), sh.counted(x["t"]).alias("counted")))
-    )
-    read = halved.withColumn("tok", F.transform("tok", _read))
-    placed = read.withColumn("tok", _once(F.struct(F.col("tok").alias("tok"), _headers().alias("headers")), _in_segments))
+def _keys(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in (*OWN, "text")]
+
+
+def _settled() -> Column:
+    """The event of a token where it stands: what it says by itself (r), and the open segment (seg)."""
+    e, seg = F.col("r.e"), F.col("seg")
+    whole = lambda kind, item, amount, count=None: _event(kind, item, amount, count=count)
+    suffix = F.when(seg["existing"], "IE").otherwise("I")
+    known = seg["count"].isin(*registry.BURIED_COUNTS)
+    buried = F.when(known, F.concat(F.lit("bfo_"), seg["count"].cast("string"), F.lit("_"), suffix)).otherwise(F.concat(F.lit("bfo_"), suffix))
+
+    def placed(amount: Column) -> Column:
+        """Footage on the open segment: aerial waits for the end of the comment."""
+        return F.when(seg["kind"] == "B", whole("item", buried, amount)).otherwise(whole("span", None, amount, seg["count"]))
+
+    # A bare number continues the open segment: footage with a foot mark or when it is small, else a station.
+    continued = F.when(F.col("r.foot") | (e["amount"] < sh.FOOTAGE_BELOW), placed(e["amount"])).otherwise(_event("ignored"))
+    alone = F.when(F.col("r.foot"), _event("unresolved")).otherwise(_event("ignored"))
+    tail = F.when(seg["kind"] == "B", "bfo_rtd").otherwise("afo_rtd")
     return (
-        placed.withColumn("has_anchor", F.exists("tok", lambda x: x["t"].contains("AFO.GAA") | x["t"].contains("ANCHOR")))
-        .withColumn("base_bores", _base_bores())
-        .withColumn("events", F.transform("tok", lambda x, i: F.struct(x["raw"].alias("raw"), i.alias("pos"), _classify(x).alias("e"))))
-        .drop("tok", "tokens")
+        F.when(F.col("header"), F.when(F.col("r.marked").isNotNull(), placed(F.col("r.marked"))).otherwise(_event("ignored")))
+        .when(e["kind"] == "bare", F.when(seg.isNotNull(), continued).otherwise(alone))
+        .when(e["kind"] == "buried", whole("item", buried, e["amount"]))
+        .when(e["kind"] == "tail", whole("item", tail, e["amount"]))
+        .when(e["kind"] == "span", whole("span", None, e["amount"], seg["count"]))
+        .otherwise(e)
     )
 
 
-def _once(value: Column, use) -> Column:
-    """Evaluate a value a single time for all its uses inside a lambda."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def _headers() -> Column:
-    """Tokens that open a cable segment: the first cable code of the comment, and later
-    ones with a real fiber count (any other number there is a footage)."""
-    coded = F.filter(
-        F.transform("tok", lambda x, i: F.struct(
-            i.alias("pos"), F.upper(x["cable_kind"]).alias("kind"), x["cable_count"].alias("count"), x["existing"].alias("existing"))),
-        lambda h: h["kind"].isNotNull(),
+def token_events(split: DataFrame) -> DataFrame:
+    """One row per token: its comment's columns, copies, pos, token, event e, and what the comment says about it.
+
+    A segment is opened by the first cable code of a comment, and later by one with a real
+    fiber count (any other number there is a footage).
+    """
+    keys = [c for c in split.columns if c not in OWN]
+    tokens = split.filter(~is_excluded()).select(*keys, "copies", F.posexplode("tokens").alias("pos", "token")).withColumn("s", sh.shape(F.col("token")))
+    tokens = tokens.select(*keys, "copies", "pos", "token", F.col("s.shape").alias("shape"), F.col("s.feet").alias("set_apart"))
+    read = tokens.join(readings(tokens.select("shape").distinct()), "shape").drop("shape")
+    feet = F.col("set_apart")
+    back = F.col("r")
+    for name in ("marked", "base_feet"):
+        back = back.withField(name, sh.put_back(F.col(f"r.{name}"), feet))
+    read = read.withColumn("r", back.withField("e", F.col("r.e").withField("amount", sh.put_back(F.col("r.e.amount"), feet))))
+
+    in_order = Window.partitionBy(*keys).orderBy("pos")
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.col("r.opened")
+    placed = read.withColumn("first_opened", F.min(F.when(opened.isNotNull(), F.col("pos"))).over(whole))
+    placed = placed.withColumn("header", opened.isNotNull() & ((F.col("pos") == F.col("first_opened")) | opened["count"].isin(*sh.FIBER_COUNTS)))
+    placed = placed.withColumn("header", F.coalesce("header", F.lit(False)))
+    placed = placed.withColumn("seg", F.last(F.when(F.col("header"), opened), True).over(so_far)).withColumn("e", _settled())
+    kind, amount = F.col("e.kind"), F.col("e.amount")
+    step = F.when(kind.isin("spec", "conduit", "run"), F.struct(kind.alias("kind"), F.col("e.count").alias("count"), F.col("e.size").alias("size")))
+    last_step = F.last(step, True).over(before)
+    told = placed.withColumn("waiting", last_step).withColumn("waiting", F.when(F.col("waiting.kind") == "spec", F.col("waiting")))
+    told = (
+        told.withColumn("has_anchor", F.max("r.anchor").over(whole))
+        .withColumn("first_olash", F.min(F.when(kind == "olash", F.col("pos"))).over(whole))
+        .withColumn("own_olash", F.max(F.when((kind == "olash") & (amount != 0), F.struct("pos", amount.alias("amount")))).over(whole)["amount"])
+        .withColumn("all_spans", F.sum(F.when(kind == "span", amount)).over(whole))
     )
-    return F.filter(coded, lambda h, i: (i == 0) | h["count"].isin(*sh.FIBER_COUNTS))
-
-
-def _in_segments(s: Column) -> Column:
-    """Every token with its segment: the one it opens itself or the last one opened."""
-
-    def place(x: Column, i: Column) -> Column:
-        seg = F.try_element_at(F.filter(s["headers"], lambda h: h["pos"] <= i), F.lit(-1))
-        return F.struct(*[x[c].alias(c) for c in ("raw", "t", "n", "b", "ft", "conduit", "pipe")],
-                        seg.alias("seg"), F.coalesce(seg["pos"] == i, F.lit(False)).alias("header"))
-
-    return F.transform(s["tok"], place)
+    # footages of single-pipe bores that the comment states itself; the same rows by another order, not another shuffle
+    told = told.withColumn("footage", F.coalesce("r.base_feet", amount))
+    told = told.withColumn("base_stated", F.max(F.col("r.base_feet").isNotNull()).over(Window.partitionBy(*keys, "footage")))
+    return told.select(*keys, "copies", "pos", "token", "e", "has_anchor", "first_olash", "own_olash", "all_spans", "waiting", "base_stated")
 
 
-def _base_bores() -> Column:
-    """Footages of single-pipe bores the comment states itself."""
-    explicit = F.filter("tok", lambda x: x["conduit"] & (sh.conduit_method(x["t"]) == "DP") & (F.coalesce(x["pipe"]["ways"], F.lit(1)) == 1))
-    return F.array_compact(F.transform(explicit, lambda x: x["pipe"]["feet"]))
-
-
-def _pairs(item: Column, amount: Column) -> Column:
-    return F.struct(item.cast("string").alias("item"), amount.cast("double").alias("amount"))
+def _pair(item: Column | str, amount: Column) -> Column:
+    return F.struct((item if isinstance(item, Column) else F.lit(item)).cast("string").alias("item"), amount.cast("double").alias("amount"))
 
 
 def items(events: DataFrame) -> DataFrame:
-    """Billable (item, amount) of every comment, one row each; zero amounts are none."""
-    of = lambda *kinds: F.filter("events", lambda v: v["e"]["kind"].isin(*kinds))
-    plain = F.transform(of("item"), lambda v: _pairs(v["e"]["item"], v["e"]["amount"]))
-
-    overlash = of("olash")
-    spans = of("span")
-    own = F.try_element_at(F.filter(overlash, lambda v: v["e"]["amount"] != 0), F.lit(-1))["e"]["amount"]
-    all_spans = F.aggregate(spans, F.lit(0.0), lambda acc, v: acc + v["e"]["amount"])
-    strand = F.when(
-        F.size(overlash) > 0, F.array(_pairs(F.lit("olash"), F.coalesce(own, all_spans)))
-    ).otherwise(F.transform(spans, lambda v: _pairs(registry.strand_item(v["e"]["count"]), v["e"]["amount"])))
-
-    guys = F.flatten(F.transform(of("guy"), lambda v: F.when(
-        F.col("has_anchor"), F.array(_pairs(F.lit("down_guy"), v["e"]["amount"]))
-    ).otherwise(F.array(_pairs(F.lit("down_guy"), v["e"]["amount"]), _pairs(F.lit("anchor"), v["e"]["amount"])))))
-
-    steps = of("spec", "conduit", "run")
-
-    def pipes(v: Column) -> Column:
-        """A run takes its pipes from the size line right before it, if that is unused."""
-        before = F.try_element_at(F.filter(steps, lambda s: s["pos"] < v["pos"]), F.lit(-1))
-        waiting = (v["e"]["kind"] == "run") & (before["e"]["kind"] == "spec")
-        count = F.when(v["e"]["kind"] == "conduit", v["e"]["count"]).when(waiting, before["e"]["count"])
-        size = F.when(v["e"]["kind"] == "conduit", v["e"]["size"]).when(waiting, before["e"]["size"])
-        return F.struct(sh.conduit_item(count, size, v["e"]["method"]).alias("item"), size.alias("size"), v["e"]["amount"].alias("amount"))
-
-    def with_base(p: Column) -> Column:
-        """A multi-pipe bore also bills the base bore, unless the comment wrote it out."""
-        own_pair = _pairs(p["item"], p["amount"])
-        adds = p["item"].endswith("_DPD") & ~F.array_contains("base_bores", p["amount"])
-        return F.when(adds, F.array(own_pair, _pairs(sh.conduit_item(F.lit(1), p["size"], F.lit("DP")), p["amount"]))).otherwise(F.array(own_pair))
-
-    conduit = F.flatten(F.transform(F.transform(of("conduit", "run"), pipes), with_base))
-    keys = [c for c in events.columns if c not in ("events", "has_anchor", "base_bores", "text")]
-    every = F.concat(plain.cast(ITEM_TYPE), strand.cast(ITEM_TYPE), guys.cast(ITEM_TYPE), conduit.cast(ITEM_TYPE))
+    """Billable (item, amount) of every comment, for `copies` comments each; zero amounts are none.
+
+    An overlash replaces the comment's placement: its own footage, else that of all spans. A
+    down guy also bills an anchor unless the comment states one. A run takes its pipes from the
+    size right before it, if that is unused; a bore of several pipes also bills the base bore,
+    unless the comment wrote it out at that footage.
+    """
+    e = F.col("e")
+    kind, amount, c = e["kind"], e["amount"], F.col
+    none = F.array().cast("array<struct<item:string,amount:double>>")
+    guy = F.when(c("has_anchor"), F.array(_pair("down_guy", amount))).otherwise(F.array(_pair("down_guy", amount), _pair("anchor", amount)))
+    taken = F.when(kind == "run", c("waiting")).otherwise(F.struct(F.lit("conduit").alias("kind"), e["count"].alias("count"), e["size"].alias("size")))
+    pipe = sh.conduit_item(taken["count"], taken["size"], e["method"])
+    base = F.array(_pair(sh.conduit_item(F.lit(1), taken["size"], F.lit("DP")), amount))
+    laid = F.concat(F.array(_pair(pipe, amount)), F.when(pipe.endswith("_DPD") & ~c("base_stated"), base).otherwise(none))
+    billed = (
+        F.when(kind == "item", F.array(_pair(e["item"], amount)))
+        .when((kind == "olash") & (c("pos") == c("first_olash")), F.array(_pair("olash", F.coalesce("own_olash", "all_spans", F.lit(0.0)))))
+        .when((kind == "span") & c("first_olash").isNull(), F.array(_pair(registry.strand_item(e["count"]), amount)))
+        .when(kind == "guy", guy)
+        .when(kind.isin("conduit", "run"), laid)
+        .otherwise(none)
+    )
     # Outer, so that Spark does not derive a filter that would evaluate all of it twice.
-    return events.select(*keys, F.inline_outer(every)).filter("amount <> 0")
+    return events.select(*_keys(events), "copies", F.inline_outer(billed)).filter("amount <> 0")
 
 
 def _tokens_of(events: DataFrame, kind: str) -> DataFrame:
-    keys = [c for c in events.columns if c not in ("events", "has_anchor", "base_bores", "text")]
-    return (
-        events.select(*keys, F.inline_outer(F.filter("events", lambda v: v["e"]["kind"] == kind)))
-        .filter("pos is not null")
-        .select(*keys, "pos", F.col("raw").alias("token"))
-    )
+    return events.filter(F.col("e.kind") == kind).select(*_keys(events), "copies", "pos", "token")
 
 
 def notes(events: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ DOCUMENT = ("doc_id",)
 
 def item_quantities(items: DataFrame, keys: Sequence[str] = DOCUMENT) -> DataFrame:
     """Quantity and number of entries per document and item."""
-    return items.groupBy(*keys, "item").agg(exact_sum(F.col("amount")).alias("qty"), F.count(F.lit(1)).alias("n_records"))
+    return items.groupBy(*keys, "item").agg(exact_sum(F.col("amount") * F.col("copies")).alias("qty"), F.sum("copies").alias("n_records"))
 
 
 def describe_items(quantities: DataFrame) -> DataFrame:
@@ -73,12 +73,12 @@ def asbuilt_lines(
 
 
 def record_counts(split: DataFrame, events: DataFrame, keys: Sequence[str] = DOCUMENT) -> DataFrame:
-    """Comments, excluded comments and unresolved tokens per document: comments are grouped
-    once, and what their tokens said once more; no token becomes a row of its own."""
-    told = split.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_records"), F.count_if(is_excluded()).alias("n_excluded"))
-    open_tokens = F.size(F.filter("events", lambda v: v["e"]["kind"] == "unresolved"))
-    unread = events.groupBy(*keys).agg(F.sum(open_tokens).alias("n_unresolved"))
-    return told.join(unread, list(keys), "left").fillna(0, ["n_unresolved"])
+    """Comments, excluded comments and unresolved tokens per document. Both come from the same
+    grouped comments, which Spark computes once, and are added up in one grouping."""
+    nothing = F.lit(0).cast("long")
+    told = split.select(*keys, F.col("copies").alias("n_records"), F.when(is_excluded(), F.col("copies")).otherwise(nothing).alias("n_excluded"), nothing.alias("n_unresolved"))
+    unread = events.filter(F.col("e.kind") == "unresolved").select(*keys, nothing.alias("n_records"), nothing.alias("n_excluded"), F.col("copies").alias("n_unresolved"))
+    return told.unionByName(unread).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n_records", "n_excluded", "n_unresolved")))
 
 
 def _when(condition: Column, *parts) -> Column:

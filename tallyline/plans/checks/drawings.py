@@ -65,7 +65,7 @@ def annot_items(spark, sf_dir):
 @query("annot_unresolved", f"WITH {SAID} SELECT doc_id, page, 'BDO' AS token, count(*) AS n FROM said WHERE lay = 6 GROUP BY ALL")
 def annot_unresolved(spark, sf_dir):
     found = ann.unresolved(ann.token_events(split(spark, sf_dir)))
-    return found.groupBy("doc_id", "page", "token").agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy("doc_id", "page", "token").agg(F.sum("copies").alias("n"))
 
 
 @query(
@@ -74,12 +74,12 @@ def annot_unresolved(spark, sf_dir):
   FROM said WHERE lay = 7 AND l_orderkey % 2 = 1) GROUP BY ALL""",
 )
 def annot_notes(spark, sf_dir):
-    return ann.notes(ann.token_events(split(spark, sf_dir))).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    return ann.notes(ann.token_events(split(spark, sf_dir))).groupBy("doc_id", "token").agg(F.sum("copies").alias("n"))
 
 
 @query("annot_excluded", f"WITH {SAID} SELECT doc_id, count(*) AS n FROM said WHERE lay = 7 AND l_orderkey % 2 = 0 GROUP BY ALL")
 def annot_excluded(spark, sf_dir):
-    return ann.excluded_comments(split(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return ann.excluded_comments(split(spark, sf_dir)).groupBy("doc_id").agg(F.sum("copies").alias("n"))
 
 
 @query(
