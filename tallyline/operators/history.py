@@ -57,9 +57,13 @@ def prior_cycles(cycles: DataFrame) -> DataFrame:
     return named.drop("__seq").unionByName(open_cycles).filter("prior_cycle_no is not null")
 
 
-def prior_billed(results: DataFrame, cycles: DataFrame) -> DataFrame:
-    """(cycle keys, code, prior_billed_qty) to hand to the reconciliation."""
-    link = prior_cycles(cycles)
+def prior_billed(results: DataFrame, cycles: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """(cycle keys, code, prior_billed_qty) to hand to the reconciliation.
+
+    ``cycles``: all that there are; or ``links``, what each cycle is compared with. Few links
+    that come from a filter let Spark read only the partitions of the cycles they name.
+    """
+    link = prior_cycles(cycles) if links is None else links
     saved = results.filter("coalesce(code, '') <> ''").select(
         F.col("project_id").alias("__p"),
         F.col("contractor_id").alias("__c"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from tallyline.operators.totals import summary_metrics
 
 
 PARTITIONS = ("project_id", "contractor_id", "cycle_no")
+BATCH_PARTITIONS = ("project_id", "cycle_no", "base", "batch_id")
 RESULT_COLUMNS = (
     "code", "description", "uom", "built_qty", "billed_qty", "contract_price", "billed_price", "est_qty", "billed_amount",
     "expected_amount", "variance", "severity", "flags", "resolution", "resolution_note", "resolved_by", "resolved_at",
@@ -61,6 +62,53 @@ class Store:
     def append(self, df: DataFrame, name: str) -> None:
         df.write.mode("append").parquet(self.path(name))
 
+    def overwrite(self, df: DataFrame, name: str) -> None:
+        """The whole of a small table."""
+        df.write.mode("overwrite").parquet(self.path(name))
+
+    # --- batches -------------------------------------------------------------
+    def put_batch(self, df: DataFrame, name: str, batch_id: int) -> None:
+        """Rows of cycles that one batch adds. A batch that is put again replaces what it put."""
+        marked = df.withColumn("base", F.lit(0)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        self.replace_partitions(marked, name, BATCH_PARTITIONS)
+
+    def batches(self, name: str, schema: str, touched: DataFrame | None = None) -> DataFrame:
+        """Rows of all batches, or of the cycles of ``touched``, with ``base`` and ``batch_id``.
+
+        Where batches of a cycle were folded, what the fold holds is not read a second time,
+        also if the batches folded are still there.
+        """
+        rows = self.read(name, f"{schema}, base int, batch_id bigint")
+        if touched is not None:
+            rows = join_null_safe(rows, touched.select("project_id", "cycle_no").distinct(), ["project_id", "cycle_no"], "left_semi")
+        folds = rows.filter("base = 1").groupBy(F.col("project_id").alias("__p"), F.col("cycle_no").alias("__n")).agg(F.max("batch_id").alias("__to"))
+        joined = rows.join(folds, (F.col("project_id") == F.col("__p")) & (F.col("cycle_no") == F.col("__n")), "left")
+        return joined.filter("__to is null or batch_id > __to or (base = 1 and batch_id = __to)").drop("__p", "__n", "__to")
+
+    def fold_batches(self, name: str, schema: str, touched: DataFrame, kept: int, fold: Callable[[DataFrame], DataFrame]) -> None:
+        """Cycles of ``touched`` with more than ``kept`` batches get one that holds them all.
+
+        It is written as a whole before the others go, and counts from then on; a fold that
+        fails leaves everything as it was, one that fails while removing is finished by the next.
+        """
+        rows = self.batches(name, schema, touched)
+        counts = rows.select("project_id", "cycle_no", "base", "batch_id").distinct().groupBy("project_id", "cycle_no").agg(F.count(F.lit(1)).alias("__n"), F.max("batch_id").alias("__last"))
+        full = counts.filter(F.col("__n") > kept).collect()  # a row for each cycle that is folded now
+        if not full:
+            return
+        chosen = self.spark.createDataFrame([(r["project_id"], r["cycle_no"], r["__last"]) for r in full], "project_id string, cycle_no int, __last bigint")
+        folded = join_null_safe(rows, chosen.drop("__last"), ["project_id", "cycle_no"], "left_semi")
+        whole = join_null_safe(fold(folded.drop("base", "batch_id")), chosen, ["project_id", "cycle_no"], "inner")
+        self.replace_partitions(whole.withColumn("base", F.lit(1)).withColumnRenamed("__last", "batch_id"), name, BATCH_PARTITIONS)
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(self.path(name)).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        last = {(r["project_id"], r["cycle_no"]): r["__last"] for r in full}
+        stored = self.read(name, f"{schema}, base int, batch_id bigint")
+        old = join_null_safe(stored, chosen.drop("__last"), ["project_id", "cycle_no"], "left_semi").select("project_id", "cycle_no", "base", "batch_id", F.col("_metadata.file_path").alias("file")).distinct()
+        for r in old.collect():
+            if (r["base"], r["batch_id"]) != (1, last[r["project_id"], r["cycle_no"]]) and r["batch_id"] <= last[r["project_id"], r["cycle_no"]]:
+                fs.delete(fs_path(r["file"]).getParent(), True)
+
     # --- cycles --------------------------------------------------------------
     def save_results(self, rows: DataFrame, resolutions: DataFrame | None = None) -> None:
         """Reconciled rows of whole cycles, with the reviewer decisions beside them. Without

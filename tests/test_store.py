@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 import golden
 from tallyline.operators import history, review, totals
 from tallyline.operators.reconcile import reconcile
-from tallyline.schemas import BILLING_CYCLE, RESOLUTION_EVENT
+from tallyline.schemas import BILLING_CYCLE, INVOICE_LINE, RESOLUTION_EVENT
 from tallyline.sources.tables import Store, cycle_detail, flags_from_json, flags_to_json
 from tallyline.streaming import intake
 
@@ -73,6 +73,41 @@ def test_stream_saves_the_same_cycles_as_a_batch(spark, tmp_path):
     assert store.results().select("code", "built_qty", "billed_qty", "variance", "severity").orderBy("code").collect() == want
 
 
+def test_many_batches_equal_one_and_fold_into_few_files(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    inbox = str(tmp_path / "inbox")
+    lines = golden.invoice_df(spark).unionByName(golden.invoice_df(spark).withColumn("contractor_id", F.lit("C2")).filter("line_no < 6")).cache()
+    built = golden.asbuilt_df(spark).unionByName(golden.asbuilt_df(spark, key=("P1", "C2", golden.KEY[2])))
+    modes = lines.select("project_id", "contractor_id", "cycle_no").distinct().withColumn("billing_mode", F.when(F.col("contractor_id") == "C2", "discrete").otherwise("cumulative"))
+    for i in range(6):  # each batch sends one line again
+        lines.filter(f"line_no in ({i}, {i - 1}, {i + 6})").coalesce(1).write.mode("append").parquet(inbox)
+        intake.keep_cycles_current(
+            intake.invoice_stream(spark, inbox), store, built, golden.contract_df(spark), cycles=modes, batches_kept=2,
+            checkpoint=str(tmp_path / "progress"), available_now=True).awaitTermination(120)
+    want = reconcile(built, lines, golden.contract_df(spark), cycles=modes)
+    shown = ["contractor_id", "code", "built_qty", "billed_qty", "billed_price", "variance", "severity"]
+    assert sorted(map(repr, store.results().select(*shown).collect())) == sorted(map(repr, want.select(*shown).collect()))
+    for name in (intake.LINES, intake.STATES):
+        folders = [f for f in (tmp_path / "store" / name).rglob("batch_id=*") if f.is_dir()]
+        assert 1 <= len(folders) <= 3, folders
+    stored = store.batches(intake.LINES, INVOICE_LINE)
+    assert stored.count() == lines.filter("line_no < 12").count()
+
+
+def test_the_prior_is_read_from_the_prior_partitions_alone(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for n in range(4):
+        for project in ("P1", "P2"):
+            store.save_results(golden_rows(spark, (project, "C1", n)))
+    touched = spark.createDataFrame([("P1", "C1", 4, 9)], "project_id string, contractor_id string, cycle_no int, batch_id bigint")
+    store.overwrite(touched, intake.TOUCHED)
+    read = store.read(intake.TOUCHED, "project_id string, contractor_id string, cycle_no int, batch_id bigint").filter("batch_id = 9").drop("batch_id")
+    prior = intake.prior_of(store, read, read, 9)
+    rows = prior.collect()
+    assert {(r.project_id, r.cycle_no) for r in rows} == {("P1", 4)} and len(rows) == 7
+    assert "dynamicpruning" in prior._jdf.queryExecution().executedPlan().toString()
+
+
 def test_decisions_survive_lines_that_arrive_later(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     inbox = str(tmp_path / "inbox")
