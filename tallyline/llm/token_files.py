@@ -10,7 +10,9 @@ range is kept in a small table beside the files.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from unicodedata import normalize
 
@@ -22,26 +24,31 @@ from pyspark.sql import functions as F
 
 from tallyline.llm.frames import shuffle_partitions
 from tallyline.llm.pretokens import Bounded
+from tallyline.llm.tokens import _STAND_IN
 
 #: Bytes of a row group, bytes of a page, and rows of a page at most.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 64 << 10, 512
 #: Longer words are encoded each time, so that what is remembered stays small.
 _REMEMBERED = 40
+#: Words and pieces that a worker remembers, and the last ones before: some 200 bytes each.
+WORDS, PIECES = 120_000, 400_000
 _SIGNS = ".,;:!?#$%&*"
 _DELTA = ("key", "n_tokens", "offset", "range")
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizers file whose pieces never reach across a space or a line feed.
-
-    Letters and the signs after them have to be pieces of their own, and case must not matter.
-    A text's ids are then those of its words in turn, and each word is encoded by the library
-    once while a bounded memory holds it. The file's text is kept, so the encoder can be sent
-    to tasks. split=False gives whole texts to the library.
+    """Ids of texts by a tokenizers file, as the library gives them.
+
+    Where the file composes and lower-cases text, drops white space and splits letters from
+    other signs before its merges (`by_words`), a text's ids are those of its words in turn, and
+    a word's are those of its letters and of the signs after them. Each of these is merged by
+    the library's model once while a bounded memory holds it; words that are not of this form
+    and files that are not go through the library whole. The file's text is kept, so the
+    encoder can be sent to tasks.
     """
 
-    def __init__(self, json: str, split: bool = True):
-        self.json, self.split = json, split
+    def __init__(self, text: str):
+        self.json = text
         self._wake()
 
     def _wake(self) -> None:
@@ -50,39 +57,64 @@ class WordEncoder:
         self.library = Tokenizer.from_str(self.json)
         self.library.no_truncation()
         self.library.no_padding()
+        self.by_words = self._splits_words()
+        self.merge = self.library.model.tokenize
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.signs = "".join(c for c in _SIGNS if not any(c in t for t in added))
-        self.ids_of = Bounded(self._of_word, 60_000)
-        self.ids_of_stem = Bounded(self._encoded, 250_000)
+        self.ids_of = Bounded(self._of_word, WORDS)
+        self.ids_of_piece = Bounded(self._of_piece, PIECES)
+
+    def _splits_words(self) -> bool:
+        told = json.loads(self.json)
+        norm, pre = (told.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+        steps, cuts = norm.get("normalizers", []), pre.get("pretokenizers", [])
+        return (
+            [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+            and cuts[0]["pattern"]["Regex"].endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+            and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
+            and not any(t.isspace() or " " in t or t[:1].isalpha() for t in (x["content"] for x in told["added_tokens"])) and told.get("post_processor") is None
+        )
 
     def __getstate__(self):
-        return {"json": self.json, "split": self.split}
+        return self.json
 
     def __setstate__(self, state):
-        self.__dict__.update(state)
+        self.json = state
         self._wake()
 
     def _encoded(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _of_piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join(map(_STAND_IN.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.merge(shown)]).tobytes()
 
     def _of_word(self, word: str) -> bytes:
-        """A letter and signs after it are pieces of their own, so those of many words are remembered once."""
         stem = word.rstrip(self.signs)
-        if not (stem.isalpha() and (stem.isascii() or max(stem) < "\u0530" and normalize("NFC", stem).lower().isalpha())):
-            return self._encoded(word)  # a letter that turns into a letter and a mark would take the sign after it along
-        ids = self.ids_of_stem[stem.lower() if stem.isascii() else stem]
-        return ids + self.ids_of_stem[word[len(stem) :]] if len(stem) < len(word) else ids
+        if stem.isalpha() and (low := _lower(stem)):
+            ids = self.ids_of_piece[low]
+            return ids + self.ids_of_piece[word[len(stem) :]] if len(stem) < len(word) else ids
+        return self._encoded(word)
 
     def __call__(self, text: str) -> bytes:
-        """The ids as packed little-endian unsigned 32-bit integers."""
-        if not self.split:
+        """The ids as packed unsigned 32-bit integers in this machine's order."""
+        if not self.by_words:
             return self._encoded(text)
         known = self.ids_of
         return b"".join([known[w] if len(w) <= _REMEMBERED else self._encoded(w) for w in text.replace("\n", " ").split(" ") if w])
 
 
+def _lower(stem: str) -> str:
+    """Letters as the library lower-cases them; empty where it might not see the same, or turn one into a letter and a mark."""
+    low = stem.lower()
+    if stem.isascii():
+        return low
+    plain = max(stem) < "\u0530" and len(low) == len(stem) and low.isalpha() and "Σ" not in stem and normalize("NFC", stem) == stem
+    return low if plain else ""
+
+
 def _writing(shared: Broadcast, end: int | None) -> Callable:
-    closing = b"" if end is None else np.array([end], "<u4").tobytes()
+    closing = b"" if end is None else array("I", [end]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = shared.value
@@ -92,7 +124,7 @@ def _writing(shared: Broadcast, end: int | None) -> Callable:
             sizes = np.array([len(p) // 4 for p in packed], np.int64)
             offsets = np.zeros(len(packed) + 1, np.int32)
             np.cumsum(sizes, out=offsets[1:])
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("range"), batch.column("key"), pa.array(before + offsets[:-1].astype(np.int64)), pa.array(sizes), ids],
                 ["range", "key", "offset", "n_tokens", "ids"],

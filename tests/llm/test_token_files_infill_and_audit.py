@@ -22,12 +22,20 @@ def library():
 
 def test_word_encoder_equals_the_library(library, rows):
     encode, rng = queries.word_encoder(), random.Random(3)
-    odd = ["a", "É", "é", "́", "'s", "'LL", " ", "\n", "\t", "\x1c", "\xa0", "1", "²", ",", ".", "!?", "#", "ß", "Σ", "İ", "字", "<|endoftext|>", "<|", "|>", "Word", "word,", "x" * 60]
+    odd = ["a", "É", "é", "́", "'s", "'LL", " ", "\n", "\t", "\x1c", "\xa0", "1", "²", ",", ".", "!?", "#", "ß", "Σ", "ΑΣ", "ΣΑ", "İ", "ﬁ", "ñÑ", "字", "<|endoftext|>", "<|", "|>", "Word", "word,", "x" * 60]
     texts = [r[1] or "" for r in rows] + ["".join(rng.choices(odd, k=rng.randint(1, 14))) for _ in range(3000)]
     for text in texts:
         assert np.frombuffer(encode(text), "<u4").tolist() == library(text), text
 
 
+def test_files_of_another_kind_go_through_the_library_whole():
+    encode = queries.word_encoder("byte_bpe_50k.json")
+    told = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert not encode.by_words and queries.word_encoder().by_words
+    for text in ("", "Two words, three", " é\n"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == told.encode(text, add_special_tokens=False).ids
+
+
 def test_written_ids_come_back_in_order(spark, docs, rows, library, tmp_path):
     clash = docs.withColumn("key", F.lit("x")).withColumn("range", F.lit(1)).withColumn("ids", F.lit(2))
     path = f"file://{tmp_path}/t"
