@@ -128,22 +128,35 @@ def _score_levenshtein(pieces: DataFrame, scope: Sequence[str], keep: int) -> Da
     """The same ranking by edit distance, entirely in built-in expressions."""
     text = pieces.select(*scope, F.explode("texts").alias("text_key"), "items")
 
-    def scored(i: Column) -> Column:
-        on_code, on_desc = levenshtein_ratio(F.col("text_key"), i["norm_code"]), levenshtein_ratio(F.col("text_key"), i["norm_desc"])
+    def measured(i: Column) -> Column:
+        return F.struct(i.alias("i"), levenshtein_ratio(F.col("text_key"), i["norm_code"]).alias("on_code"), levenshtein_ratio(F.col("text_key"), i["norm_desc"]).alias("on_desc"))
+
+    def scored(m: Column) -> Column:
         return F.struct(
-            (-F.greatest(on_code, on_desc)).alias("neg"),
-            i["item_no"].alias("item_no"),
-            i["code"].alias("code"),
-            i["description"].alias("description"),
-            F.when(on_code >= on_desc, "code").otherwise("description").alias("field"),
+            (-F.greatest(m["on_code"], m["on_desc"])).alias("neg"),
+            m["i"]["item_no"].alias("item_no"),
+            m["i"]["code"].alias("code"),
+            m["i"]["description"].alias("description"),
+            F.when(m["on_code"] >= m["on_desc"], "code").otherwise("description").alias("field"),
         )
 
-    best = F.slice(F.array_sort(F.transform("items", scored)), 1, keep)
+    best = F.slice(F.array_sort(F.transform(F.transform("items", measured), scored)), 1, keep)
     return text.select(*scope, "text_key", F.explode_outer(best).alias("c")).filter("c is not null").select(
         *scope, "text_key", "c.item_no", "c.code", "c.description", (-F.col("c.neg")).alias("score"), "c.field"
     )
 
 
+def settled(descriptions: DataFrame, contract: DataFrame, aliases: DataFrame | None = None, *, scope: Sequence[str] = ("project_id",)) -> DataFrame:
+    """Distinct raw descriptions with what settles them without any scoring: a learned alias
+    (alias_code), else an item of exactly that code (hit)."""
+    texts = descriptions.select(*scope, "raw_desc").distinct().withColumn("text_key", normalize(F.col("raw_desc")))
+    if aliases is not None:
+        texts = texts.join(aliases.select(F.col("normalized_desc").alias("text_key"), F.col("code").alias("alias_code")), "text_key", "left")
+    else:
+        texts = texts.withColumn("alias_code", F.lit(None).cast("string"))
+    return join_null_safe(texts, exact_codes(contract, scope), [*scope, "text_key"], "left")
+
+
 def resolve(
     descriptions: DataFrame,
     contract: DataFrame,
@@ -155,12 +168,7 @@ def resolve(
     """Match per distinct raw description: code (null if it needs review), score, kind
     (alias, code, auto, review) and the best candidates."""
     none = F.array().cast(f"array<struct<{_ddl(CANDIDATE)}>>")
-    texts = descriptions.select(*scope, "raw_desc").distinct().withColumn("text_key", normalize(F.col("raw_desc")))
-    if aliases is not None:
-        texts = texts.join(aliases.select(F.col("normalized_desc").alias("text_key"), F.col("code").alias("alias_code")), "text_key", "left")
-    else:
-        texts = texts.withColumn("alias_code", F.lit(None).cast("string"))
-    texts = join_null_safe(texts, exact_codes(contract, scope), [*scope, "text_key"], "left")
+    texts = settled(descriptions, contract, aliases, scope=scope)
 
     open_texts = texts.filter("alias_code is null and hit is null")
     ranked = score_candidates(open_texts, contract, scope, matching).groupBy(*scope, "text_key").agg(

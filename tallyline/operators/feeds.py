@@ -22,7 +22,7 @@ INVOICE_TOTALS = ("total", "subtotal", "sum")
 GRID_TOTALS = ("total", "subtotal", "sum", "grand total")
 
 
-def _body(grid: DataFrame, headers: DataFrame, keys: Sequence[str] = TABLE) -> DataFrame:
+def body(grid: DataFrame, headers: DataFrame, keys: Sequence[str] = TABLE) -> DataFrame:
     """Rows below the header beside the column positions of their table."""
     positions = headers.drop("header")
     return grid.join(positions, list(keys)).filter(F.col("row_no") > F.col("header_row"))
@@ -38,7 +38,7 @@ def bid_schedule(grid: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     code, description and price columns, or without any item, is an error."""
     claimed, needed = claim_columns(first_row_headers(grid), CONTRACT_WORDS, prefixes=True), ("code", "description", "unit_price")
     headers = require_columns(claimed, needed, "Bid schedule")
-    cells = _body(grid, headers).select(
+    cells = body(grid, headers).select(
         *scope, "file", F.col("row_no").cast("bigint").alias("line_no"), *[cell(F.col(f"at_{r}")).alias(r) for r in CONTRACT_WORDS]
     )
     items = contract_items(cells, [*scope, "file"])
@@ -55,7 +55,7 @@ def tally_lines(grid: DataFrame, *, strict: bool = True) -> DataFrame:
     headers = match_columns(find_headers(grid, TALLY_WORDS, fall_back=True), TALLY_WORDS)
     needed = ("desc", "qty")
     headers = require_columns(headers, needed, "Tally sheet") if strict else with_columns(headers, needed)
-    read = _body(grid, headers).select(
+    read = body(grid, headers).select(
         *_extra(grid),
         *TABLE,
         F.col("row_no").cast("bigint").alias("line_no"),
@@ -145,17 +145,17 @@ def tabular_invoices(grid: DataFrame, *, strict: bool = True, cumulative: bool =
     headers = match_columns(first_row_headers(grid), INVOICE_WORDS)
     needed = ("desc", "qty")
     headers = require_columns(headers, needed, "Invoice") if strict else with_columns(headers, needed)
-    read = _read_invoice(_body(grid, headers), _extra(grid), INVOICE_MARKS)
+    read = _read_invoice(body(grid, headers), _extra(grid), INVOICE_MARKS)
     return _invoice_lines(
         read, INVOICE_TOTALS, file_stem(file_name(F.col("file"))), F.concat(F.lit("line "), F.col("line_no")), cumulative
     )
 
 
-def _read_invoice(body: DataFrame, extra: Sequence[str], marks: str, prefix: str = "at_") -> DataFrame:
+def _read_invoice(below: DataFrame, extra: Sequence[str], marks: str, prefix: str = "at_") -> DataFrame:
     def at(role: str) -> Column:
         return cell(F.col(f"{prefix}{role}"))
 
-    return body.select(
+    return below.select(
         *extra,
         *TABLE,
         F.col("row_no").cast("bigint").alias("line_no"),
@@ -195,8 +195,8 @@ def extracted_invoices(
         headers = headers.join(given.select(*TABLE), list(TABLE), "left_anti").unionByName(
             with_columns(given, ("desc", "qty")).select(*headers.columns)
         )
-    body = grid.join(headers, list(TABLE)).filter(F.col("row_no") > F.col("header_row"))
-    read = _read_invoice(body, _extra(grid), GRID_MARKS)
+    below = grid.join(headers, list(TABLE)).filter(F.col("row_no") > F.col("header_row"))
+    read = _read_invoice(below, _extra(grid), GRID_MARKS)
     ref = F.concat(F.lit("page "), F.col("page"), F.lit(" table "), F.col("table_no"), F.lit(" row "), F.col("line_no") + 1)
     return _invoice_lines(read, GRID_TOTALS, file_stem(file_name(F.col("file"))), ref, cumulative)
 

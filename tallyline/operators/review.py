@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyline.config import APPROVAL_ROWS
 from tallyline.functions.text import flag_messages
@@ -120,31 +122,40 @@ def cycle_counts(
     resolutions: DataFrame | None = None,
     keys: Sequence[str] = CYCLE_KEYS,
 ) -> DataFrame:
-    """Counts of every stage per cycle. Each stage is read and grouped once, whatever is
-    counted of it; rows meet their decisions in that same pass."""
-    out = cycles.select(*keys).distinct()
-
-    def attach(df: DataFrame | None, **counts: Column) -> None:
-        nonlocal out
-        if df is None:
-            out = out.withColumns({name: F.lit(0).cast("bigint") for name in counts})
-            return
-        scope = [k for k in keys if k in df.columns]
-        counted = df.groupBy(*scope).agg(*[F.count_if(c).alias(name) for name, c in counts.items()])
-        out = join_null_safe(out, counted, scope, "left") if scope else out.join(counted)
-        out = out.withColumns({name: F.coalesce(name, F.lit(0)).cast("bigint") for name in counts})
-
+    """Counts of every stage per cycle. Each stage is read once, whatever is counted of it; rows
+    meet their decisions in that same pass. The cycles and all stages that know their cycle are
+    stacked as (keys, measures) and added up in one grouping, without a join; a stage of whole
+    projects is joined on its own keys, one of everything is a single value."""
     every, critical = F.lit(True), F.col("severity") == "critical"
-    attach(contract, n_contract=every)
-    attach(asbuilt, n_asbuilt=every, n_unconfirmed=F.coalesce(F.col("confidence") == "annot", F.lit(False)))
-    attach(invoices, n_invoice=every)
-    attach(review, n_review=every)
-    attach(mapped, n_mapped=every)
     is_open = critical
     if rows is not None and resolutions is not None:
         decided = resolutions.select(*keys, "row_key", F.lit(True).alias("__decided"))
         rows, is_open = join_null_safe(rows, decided, [*keys, "row_key"], "left"), critical & F.col("__decided").isNull()
-    attach(rows, n_rows=every, n_critical=critical, n_open_criticals=is_open)
+    stages: list[tuple[DataFrame | None, dict[str, Column]]] = [
+        (contract, {"n_contract": every}),
+        (asbuilt, {"n_asbuilt": every, "n_unconfirmed": F.col("confidence") == "annot"}),
+        (invoices, {"n_invoice": every}),
+        (review, {"n_review": every}),
+        (mapped, {"n_mapped": every}),
+        (rows, {"n_rows": every, "n_critical": critical, "n_open_criticals": is_open}),
+    ]
+    names = [name for _, counts in stages for name in counts]
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    stacked = cycles.select(*keys, one.alias("__cycle"), *[zero.alias(n) for n in names])
+    for df, counts in stages:
+        if df is not None and all(k in df.columns for k in keys):
+            measures = [F.when(counts[n], one).otherwise(zero).alias(n) if n in counts else zero.alias(n) for n in names]
+            stacked = stacked.unionByName(df.select(*keys, zero.alias("__cycle"), *measures))
+    out = stacked.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("__cycle", *names)]).filter("__cycle > 0").drop("__cycle")
+    for df, counts in stages:
+        if df is None or all(k in df.columns for k in keys):
+            continue
+        scope = [k for k in keys if k in df.columns]
+        counted = df.groupBy(*scope).agg(*[F.count_if(c).alias(f"__{name}") for name, c in counts.items()])
+        if scope:
+            out = join_null_safe(out, counted, scope, "left").withColumns({n: F.coalesce(f"__{n}", zero) for n in counts}).drop(*[f"__{n}" for n in counts])
+        else:
+            out = out.withColumns({n: F.coalesce(counted.select(f"__{n}").scalar(), zero) for n in counts})
     return out
 
 
@@ -271,28 +282,71 @@ def approval_head(totals: DataFrame, keys: Sequence[str] = CYCLE_KEYS, top: int
 
 
 # --- fingerprint -------------------------------------------------------------
-def fingerprint(parts: dict[str, DataFrame], keys: Sequence[str] = CYCLE_KEYS) -> DataFrame:
+LIMBS = ("limb1", "limb2", "limb3", "limb4")
+
+
+def _spelled(df: DataFrame, column: str) -> Column:
+    """A value as text in one spelling: numbers with ten places, nulls apart from any text, lengths first."""
+    kind = df.schema[column].dataType
+    value = F.col(column)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        text = value.cast("decimal(38,10)").cast("string")
+    elif isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        text = F.to_json(F.struct(column), {"ignoreNullFields": "false"})
+    else:
+        text = value.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
+def digest_limbs(name: str, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, limbs, n_inputs): the SHA-256 values of the rows of each key as four numbers, added up.
+
+    Sums do not depend on the order of the rows, repeated rows count each, and Spark adds in
+    every task before it shuffles.
+    """
+    values = sorted(c for c in rows.columns if c not in keys)
+    digest = F.sha2(F.concat(F.lit(f"{name}|"), *[_spelled(rows, c) for c in values]).cast("binary"), 256)
+    parts = [F.conv(F.substring(digest, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)").alias(limb) for i, limb in enumerate(LIMBS)]
+    return add_limbs(rows.select(*keys, *parts, F.lit(1).cast("bigint").alias("n_inputs")), keys)
+
+
+def add_limbs(limbs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Limbs of equal keys in one, each modulo 2**64."""
+    sums = [F.pmod(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(str(2**64)).cast("decimal(38,0)")).cast("decimal(20,0)").alias(c) for c in LIMBS]
+    return limbs.groupBy(*keys).agg(*sums, F.sum("n_inputs").alias("n_inputs"))
+
+
+def limbs_text(limbs: DataFrame, keys: Sequence[str] = CYCLE_KEYS) -> DataFrame:
+    """(keys, fingerprint of 64 hexadecimal digits, n_inputs)."""
+    hexed = [F.lpad(F.lower(F.conv(F.col(c).cast("string"), 10, 16)), 16, "0") for c in LIMBS]
+    return limbs.select(*keys, F.concat(*hexed).alias("fingerprint"), "n_inputs")
+
+
+def fingerprint(parts: dict[str, DataFrame], keys: Sequence[str] = CYCLE_KEYS, cycles: DataFrame | None = None) -> DataFrame:
     """A digest of everything that feeds a cycle, to skip cycles that did not change.
 
-    ``parts`` maps a name to rows with the cycle keys and the columns that matter. Each
-    row is hashed with its part's name and the hashes are added up, so neither the order
-    of the rows nor the size of a cycle matters and Spark combines before it shuffles.
+    ``parts`` maps a name to rows with the cycle keys and the columns that matter. A part that
+    lacks some of the keys (a project's contract, aliases of all projects) counts for all
+    ``cycles`` it belongs to.
     """
-    hashed = None
+    own = {n: df for n, df in parts.items() if all(k in df.columns for k in keys)}
+    stacked = functools.reduce(DataFrame.unionByName, [digest_limbs(n, df, keys) for n, df in sorted(own.items())])
     for name, df in sorted(parts.items()):
-        values = sorted(c for c in df.columns if c not in keys)
-        text = F.to_json(F.struct(*[F.col(c) for c in values]), {"ignoreNullFields": "false"})
-        digest = F.sha2(F.concat(F.lit(f"{name}|"), text), 256)
-        one = df.select(
-            *keys,
-            F.conv(F.substring(digest, 1, 12), 16, 10).cast("decimal(38,0)").alias("h1"),
-            F.conv(F.substring(digest, 13, 12), 16, 10).cast("decimal(38,0)").alias("h2"),
-        )
-        hashed = one if hashed is None else hashed.unionByName(one)
-    return hashed.groupBy(*keys).agg(
-        F.sha1(F.concat_ws("|", F.count(F.lit(1)).cast("string"), F.sum("h1").cast("string"), F.sum("h2").cast("string"))).alias("fingerprint"),
-        F.count(F.lit(1)).alias("n_inputs"),
-    )
+        if name not in own:
+            if cycles is None:
+                raise ValueError(f"{name} has not all keys of a cycle: give the cycles")
+            stacked = stacked.unionByName(spread_limbs(digest_limbs(name, df, [k for k in keys if k in df.columns]), cycles, keys))
+    return limbs_text(add_limbs(stacked, keys), keys)
+
+
+def spread_limbs(limbs: DataFrame, cycles: DataFrame, keys: Sequence[str] = CYCLE_KEYS) -> DataFrame:
+    """The limbs of a project, or of everything, at each of its cycles."""
+    scope = [k for k in keys if k in limbs.columns]
+    each = cycles.select(*keys).distinct()
+    if scope:
+        return join_null_safe(each, limbs, scope, "inner").select(*keys, *LIMBS, "n_inputs")
+    one = limbs.select(F.struct(*LIMBS, "n_inputs").alias("one")).scalar()
+    return each.withColumn("one", one).filter("one is not null").select(*keys, "one.*")
 
 
 def changed_cycles(now: DataFrame, before: DataFrame, keys: Sequence[str] = CYCLE_KEYS) -> DataFrame:

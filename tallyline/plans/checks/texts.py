@@ -90,6 +90,10 @@ def matched(spark: SparkSession, sf_dir: str, matching: Matching) -> DataFrame:
     )
 
 
+def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosswalk.settled(star.described_parts(spark, sf_dir), star.contract(spark, sf_dir), star.learned_aliases(spark, sf_dir), scope=())
+
+
 def triaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions = crosswalk.fold_decisions(star.mapping_events(spark, sf_dir), scope=())
     return crosswalk.triage(matched(spark, sf_dir, BY_DISTANCE), decisions, (), BY_DISTANCE)
@@ -97,12 +101,13 @@ def triaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("alias_join", _RESOLVE + "SELECT raw_desc, code FROM resolved WHERE kind = 'alias'")
 def alias_join(spark, sf_dir):
-    return matched(spark, sf_dir, BY_DISTANCE).filter("kind = 'alias'").select("raw_desc", "code")
+    return settled(spark, sf_dir).filter("alias_code is not null").select("raw_desc", F.col("alias_code").alias("code"))
 
 
 @query("code_match", _RESOLVE + "SELECT raw_desc, code, score FROM resolved WHERE kind = 'code'")
 def code_match(spark, sf_dir):
-    return matched(spark, sf_dir, BY_DISTANCE).filter("kind = 'code'").select("raw_desc", "code", "score")
+    found = settled(spark, sf_dir).filter("alias_code is null and hit is not null")
+    return found.select("raw_desc", F.col("hit.code").alias("code"), F.lit(100.0).alias("score"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,11 +49,23 @@ def read_grid(
     return grids
 
 
-def _read(spark: SparkSession, paths: list[str], separator: str, multi_line: bool, width: int) -> DataFrame:
+def read_folder(spark: SparkSession, folder: str, keys: Mapping[str, str], where: str | None = None, max_columns: int = MAX_COLUMNS) -> DataFrame:
+    """``grid`` of all csv and tsv files below a folder whose subfolders are named
+    ``key=value``; the keys (name to type) are columns. ``where``, a condition on them, leaves
+    out folders before any file is opened."""
+    both = [_read(spark, [folder], sep, False, max_columns, keys, suffix, where) for suffix, sep in SEPARATORS.items()]
+    return both[0].unionByName(both[1])
+
+
+def _read(
+    spark: SparkSession, paths: list[str], separator: str, multi_line: bool, width: int,
+    keys: Mapping[str, str] | None = None, suffix: str | None = None, where: str | None = None,
+) -> DataFrame:
     columns = [f"c{i}" for i in range(width)]
-    schema = ", ".join(f"{c} string" for c in columns) + ", too_wide string"
+    schema = ", ".join(f"{c} string" for c in columns) + ", too_wide string" + "".join(f", {k} {kind}" for k, kind in (keys or {}).items())
+    reader = spark.read if suffix is None else spark.read.option("pathGlobFilter", f"*{suffix}")
     raw = (
-        spark.read.schema(schema)
+        reader.schema(schema)
         .option("columnNameOfCorruptRecord", "__corrupt")
         .option("sep", separator)
         .option("header", False)
@@ -65,7 +77,10 @@ def _read(spark: SparkSession, paths: list[str], separator: str, multi_line: boo
     )
     cells = F.array(*[F.when(~F.coalesce(F.col(c), F.lit("")).isin(*MISSING), F.col(c)) for c in columns])
     checked = F.when(F.col("too_wide").isNotNull(), F.raise_error(F.lit(f"row with more than {width} cells"))).otherwise(cells)
+    if where is not None:
+        raw = raw.filter(where)
     rows = raw.select(
+        *(keys or {}),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row_id"),
@@ -82,7 +97,9 @@ def number_rows(rows: DataFrame) -> DataFrame:
     offsets = splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     width = F.size(F.col("cells"))
     last = F.array_max(F.transform(F.sequence(F.lit(1), width), lambda i: F.when(F.element_at("cells", i).isNotNull(), i).otherwise(0)))
+    keys = [c for c in rows.columns if c not in ("file", "block", "row_id", "cells")]
     return rows.join(offsets, ["file", "block"]).select(
+        *keys,
         "file",
         F.lit(1).alias("page"),
         F.lit(1).alias("table_no"),
