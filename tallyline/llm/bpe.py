@@ -13,6 +13,7 @@ import base64
 from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,6 +26,12 @@ from tallyline.llm.pretokens import Bounded, Splitter
 
 #: Lengths of prefixes whose last tokens are remembered, longest first, and how many prefixes and pairs of tokens are.
 HEADS, REMEMBERED = (12, 8, 4), 100_000
+#: Two tokens side by side are one number: the left one shifted by so many bits.
+_PAIR = 20
+#: Pieces of which a worker remembers the ids, and the last ones before: some 230 bytes each.
+PIECES = 140_000
+#: Ids whose bytes are gathered at a time.
+_GATHERED = 1 << 18
 
 
 class RankTable:
@@ -38,20 +45,21 @@ class RankTable:
         self.reached = {t: i for t, i in self.rank.items() if self.by_merges(t) == [i]}
         self.longest = max(map(len, self.reached))
         self.halves = {i: self._halves(t) for t, i in self.reached.items() if len(t) > 1}
-        lengths: dict[bytes, set[int]] = {}
-        for t in self.reached:
-            lengths.setdefault(t[-3:], set()).add(len(t))
-        # the lengths of all tokens that end in these three bytes, longest first
-        self.lengths = {end: tuple(sorted(lengths[end] | lengths.get(end[1:], set()) | {1}, reverse=True)) for end in lengths if len(end) == 3}
+        self.size = {i: len(t) for t, i in self.reached.items()}
         self._wake()
 
     def _wake(self) -> None:
-        self._beside: dict[tuple[int, int], bool] = {}
+        self._beside: dict[int, bool] = {}
         self._last: dict[bytes, tuple[int, ...]] = {}
-        self._packed = Bounded(lambda piece: array("i", self.encode_piece(piece.encode())).tobytes(), 120_000)
+        # finds all tokens that end at a byte, longest first; bytes are its characters
+        self._ending = ahocorasick.Automaton()
+        for t, i in self.reached.items():
+            self._ending.add_word(t.decode("latin-1"), (len(t), i))
+        self._ending.make_automaton()
+        self._packed = Bounded(lambda piece: array("i", self.encode_piece(piece.encode())).tobytes(), PIECES)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_beside", "_last", "_packed")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_beside", "_last", "_ending", "_packed")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -87,10 +95,10 @@ class RankTable:
             else:
                 return True
 
-    def _stay(self, pair: tuple[int, int]) -> bool:
+    def _stay(self, pair: int) -> bool:
         if len(self._beside) >= REMEMBERED:
             self._beside.clear()
-        stays = self._beside[pair] = self.stays(*pair)
+        stays = self._beside[pair] = self.stays(pair >> _PAIR, pair & (1 << _PAIR) - 1)
         return stays
 
     def fill(self, data: bytes, last: list[int]) -> None:
@@ -104,25 +112,36 @@ class RankTable:
                 if len(data) >= n and (head := known.get(data[:n])):
                     last += head
                     break
+        begun = len(last)
+        # of the tokens that end behind the last byte filled, none is longer than this
+        offset = max(0, begun - self.longest)
+        self.fill_on(data[offset:], last, offset)
+        if len(last) != len(data):
+            raise ValueError("the ranks hold no token for a byte")
         if len(known) >= REMEMBERED:
             known.clear()
-        for end in range(len(last) + 1, len(data) + 1):
-            last.append(self.last_token(data, last, end))
-            if end in HEADS:
-                known[data[:end]] = tuple(last)
-
-    def last_token(self, data: bytes, last: list[int], end: int) -> int:
-        """The last token of data[:end], given those of all shorter prefixes."""
-        reached, beside = self.reached, self._beside.get
-        for n in self.lengths.get(data[end - 3 : end], (2, 1)) if end > 2 else (2, 1)[2 - end :]:
-            if n <= end and (part := data[end - n : end]) in reached:
-                token = reached[part]
-                if n == end:
-                    return token
-                stays = beside(pair := (last[end - n - 1], token))
-                if stays or stays is None and self._stay(pair):
-                    return token
-        raise ValueError("the ranks hold no token for a byte")
+        for n in HEADS:
+            if begun < n <= len(data):
+                known[data[:n]] = tuple(last[:n])
+
+    def fill_on(self, tail: bytes, last: list[int], offset: int) -> None:
+        """Walks the tokens that end at each byte, longest first; tail begins at offset of the piece."""
+        beside, stay = self._beside.get, self._stay
+        done = len(last)
+        for end, (n, token) in self._ending.iter(tail.decode("latin-1")):
+            end += offset + 1
+            if end <= done:
+                continue  # filled, by a longer token or before
+            start = end - n
+            if start:
+                if start < offset:
+                    continue
+                pair = last[start - 1] << _PAIR | token
+                stays = beside(pair)
+                if not (stay(pair) if stays is None else stays):
+                    continue
+            last.append(token)
+            done = end
 
     def read_back(self, last: list[int]) -> list[int]:
         out, end = [], len(last)
@@ -147,6 +166,13 @@ class RankTable:
         """The bytes of ids; an unknown id is an error."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def pool(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all tokens by id, and where each id's begin; ids without token have none."""
+        sizes = np.zeros(max(self.bytes_of, default=-1) + 2, np.int64)
+        for i, t in self.bytes_of.items():
+            sizes[i + 1] = len(t)
+        return np.frombuffer(b"".join(self.bytes_of[i] for i in sorted(self.bytes_of)), np.uint8), np.cumsum(sizes)
+
 
 class PrefixTable:
     """The last tokens of all prefixes of one piece."""
@@ -164,14 +190,17 @@ class PrefixTable:
         """Replaces data[start:stop]; returns how many entries had to be found anew."""
         old, self.data = self.last, self.data[:start] + data + self.data[stop:]
         shift, self.last = len(data) - (stop - start), old[:start]
-        agreed = 0
-        for end in range(start + 1, len(self.data) + 1):
-            self.ranks.fill(self.data[:end], self.last)
-            before = end - shift
-            agreed = agreed + 1 if before > stop and old[before - 1] == self.last[-1] else 0
-            if agreed >= self.ranks.longest:  # entries further on depend on these alone
-                self.last += old[before:]
-                return end - start
+        agreed, step = 0, self.ranks.longest
+        for begin in range(start, len(self.data), step):  # so many at a time, seen from as far before
+            end = min(begin + step, len(self.data))
+            offset = max(0, begin - step)
+            self.ranks.fill_on(self.data[offset:end], self.last, offset)
+            for at in range(begin + 1, end + 1):
+                before = at - shift
+                agreed = agreed + 1 if before > stop and old[before - 1] == self.last[at - 1] else 0
+                if agreed >= step:  # entries further on depend on these alone
+                    self.last[at:] = old[before:]
+                    return at - start
         return len(self.data) - start
 
     def tokens(self) -> list[int]:
@@ -230,13 +259,30 @@ def decoder(spark: SparkSession, ranks: RankTable):
 
     @F.arrow_udf("binary")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        decode = shared.value.decode
-        for ids in batches:
-            yield pa.array([decode(x.values.to_pylist()) if x.is_valid else None for x in ids], pa.binary())
+        data, begin = shared.value.pool()
+        for lists in batches:
+            held, counts = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            if len(held) and (held.min() < 0 or held.max() >= len(begin) - 1):
+                raise ValueError("an id that the ranks do not have")
+            sizes = begin[held + 1] - begin[held]
+            if not sizes.all():
+                raise ValueError("an id that the ranks do not have")
+            out = [_gathered(data, begin[held[at : at + _GATHERED]], sizes[at : at + _GATHERED]) for at in range(0, len(held), _GATHERED)]
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+            if ends[-1] >= 2**31:
+                raise ValueError("more than 2 GiB of text in one batch")
+            flat = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.concatenate(out) if out else b"")])
+            yield pc.if_else(lists.is_valid(), flat, pa.scalar(None, pa.binary())) if lists.null_count else flat
 
     return decoded
 
 
+def _gathered(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of tokens one after the other."""
+    ends = np.cumsum(sizes)
+    return data[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1])]
+
+
 def encode(df: DataFrame, ranks: RankTable, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the ids of the whole text (null text: no ids). A column of that name is replaced, others are kept."""
     return df.withColumn(ids, encoder(df.sparkSession, ranks)(F.col(text)))
