@@ -3,12 +3,14 @@
 Of every window of k-gram hashes of a template the smallest is kept, in an inverted index with
 its places. A document's k-grams are all looked up, so a run of k + window - 1 words of a
 template is always found. Places that agree on where the template would begin are aligned.
-Copies without such a run are found by their words: where a stretch as long as the template and
-the band has as many of its words as coverage asks for, all diagonals are aligned.
+A copy can keep coverage without any run (a word put between every two), so stretches with as
+many of a template's words as coverage asks for are aligned too. Copies whose words stand at
+their places are told by counting, which keeps a text of nothing but notices linear.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,60 +72,82 @@ class Index:
         for t, (_, words) in enumerate(self.templates):
             self.member[t, words] = True
 
-    def by_words(self, words: np.ndarray, least: float, band: int) -> Iterator[tuple[int, int]]:
-        """(template, diagonal), ascending: bands round them hold all copies of coverage `least` whose diagonals are within `band` of each other."""
-        if not (words != 0).any():
-            return
-        held = self.member[:, words]
-        for t in np.flatnonzero(held.sum(axis=1) >= [least * len(w) for _, w in self.templates]):
-            template = self.templates[t][1]
-            n, length = len(template), len(template) + band
-            total = np.r_[0, np.cumsum(held[t])]
-            begins = np.arange(1 - length, len(words))
-            many = total[np.minimum(begins + length, len(words))] - total[np.maximum(begins, 0)]
-            done = None
-            for d in begins[many >= least * n].tolist():  # a copy of diagonals d to d + band has its words in d to d + length
-                if done is not None and d <= done + band // 2:
-                    continue
-                done = d
-                part = words[max(0, d - band) : max(0, d + n + 2 * band)]
-                if np.isin(template, part).sum() >= least * n:
-                    yield int(t), d
+    def in_place(self, t: int, words: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Where copies begin that have their words at their places, and how many of them."""
+        template = self.templates[t][1]
+        same = np.zeros(max(0, len(words) - len(template) + 1), np.int32)
+        for i, w in enumerate(template):
+            same += words[i : i + len(same)] == w
+        begins = np.flatnonzero(same >= least * len(template))
+        return begins, same[begins]
+
+    def by_words(self, t: int, held: np.ndarray, words: np.ndarray, least: float, band: int) -> Iterator[int]:
+        """Diagonals, ascending: bands round them hold all copies of coverage `least` whose diagonals are within `band` of each other."""
+        template = self.templates[t][1]
+        n, length = len(template), len(template) + band
+        total = np.r_[0, np.cumsum(held)]
+        begins = np.arange(1 - length, len(words))
+        many = total[np.minimum(begins + length, len(words))] - total[np.maximum(begins, 0)]
+        done = None
+        for d in begins[many >= least * n].tolist():  # a copy of diagonals d to d + band has its words in d to d + length
+            if done is not None and d <= done + _step(n, band) // 2:
+                continue
+            done = d
+            part = words[max(0, d - band) : max(0, d + n + 2 * band)]
+            if np.isin(template, part).sum() >= least * n:
+                yield d
 
     def scan(self, text: str, least: float, band: int) -> list[dict]:
         words = self.vocabulary.read(text)
+        held = self.member[:, words] if (words != 0).any() else np.zeros((len(self.templates), 0), bool)
+        possible = np.flatnonzero(held.sum(axis=1) >= [least * len(w) for _, w in self.templates])
+        if not len(possible):
+            return []
+        out = []
+        left: dict[int, np.ndarray] = {}  # by template: words that whole copies do not explain
+        for t in possible.tolist():
+            name, template = self.templates[t]
+            n = len(template)
+            whole = np.zeros(len(words) + 1, np.int32)
+            for d, matched in zip(*(x.tolist() for x in self.in_place(t, words, least))):
+                same = np.flatnonzero(words[d : d + n] == template)
+                out.append((d + int(same[0]), d + int(same[-1]) + 1, matched, t, name, matched / n))
+                if matched == n:
+                    whole[d] += 1
+                    whole[d + n] -= 1
+            left[t] = held[t] & (np.cumsum(whole[:-1]) == 0)
         at, gram = grams(words, self.k, self.base)
         begins: dict[int, list[int]] = {}
         if len(at) and len(self.wanted):
             near = np.minimum(np.searchsorted(self.wanted, gram), len(self.wanted) - 1)
             for i in np.flatnonzero(self.wanted[near] == gram):
                 for t, place in self.places[int(gram[i])]:
-                    begins.setdefault(t, []).append(int(at[i]) - place)
-        out = []
-        spans = None
-        for t, diagonals in begins.items():
+                    if t in left and left[t][at[i]]:
+                        begins.setdefault(t, []).append(int(at[i]) - place)
+        for t, unexplained in left.items():
             name, template = self.templates[t]
             done = None
-            for d in sorted(set(diagonals)):
-                if done is not None and d - done <= band:
+            for d in [*sorted(set(begins.get(t, ()))), None, *self.by_words(t, unexplained, words, least, band)]:
+                if d is None or (done is not None and d - done <= _step(len(template), band)):
+                    done = None if d is None else done
                     continue
                 done = d
                 matched, first, last = banded(template, words, d + band // 2, band)
                 if matched >= least * len(template):
-                    spans = spans or spans_of(text)
                     out.append((first, last, matched, t, name, matched / len(template)))
-        for t, d in self.by_words(words, least, band):
-            name, template = self.templates[t]
-            matched, first, last = banded(template, words, d + band // 2, band)
-            if matched >= least * len(template):
-                spans = spans or spans_of(text)
-                out.append((first, last, matched, t, name, matched / len(template)))
         # of finds that overlap, the one with more matched words stays, then the one of higher coverage, then the shorter
         kept: list[tuple] = []
         for find in sorted(out, key=lambda f: (-f[2], -f[5], f[1] - f[0], f[0], f[4])):
-            if all(find[1] <= k[0] or find[0] >= k[1] for k in kept):
-                kept.append(find)
-        return [{"license": f[4], "coverage": f[5], "matched_words": f[2], "template_words": len(self.templates[f[3]][1]), "start": spans[f[0]][0], "end": spans[f[1] - 1][1]} for f in sorted(kept)]
+            i = bisect.bisect_left(kept, find[:2])
+            if (not i or kept[i - 1][1] <= find[0]) and (i == len(kept) or kept[i][0] >= find[1]):
+                kept.insert(i, find)
+        spans = spans_of(text) if kept else []
+        return [{"license": f[4], "coverage": f[5], "matched_words": f[2], "template_words": len(self.templates[f[3]][1]), "start": spans[f[0]][0], "end": spans[f[1] - 1][1]} for f in kept]
+
+
+def _step(n: int, band: int) -> int:
+    """Copies of a template of n words begin at least half its length apart."""
+    return min(band, n // 2)
 
 
 def with_licenses(df: DataFrame, text: str = "text", licenses: str = "licenses", templates: dict[str, str] = TEMPLATES, k: int = 3, window: int = 4, least: float = 0.8, band: int = 8) -> DataFrame:

@@ -161,3 +161,28 @@ def test_every_variant_of_coverage_0_8_is_found_as_by_plain_alignment():
                 assert matched <= slow_common(index.vocabulary.read(template), index.vocabulary.read(text), 12, 28)
             if matched >= 0.8 * len(words):  # a longer notice that overlaps may stand for it
                 assert any(f["matched_words"] >= matched for f in index.scan(text, 0.8, 8)), (name, v)
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_notices_that_follow_each_other_are_all_found(name):
+    index, words = licenses.Index(licenses.TEMPLATES), ["the", "zebra", "of"]
+    n = len(index.vocabulary.learn(licenses.TEMPLATES[name]))
+    for times in (1, 2, 3, 7, 20):
+        for between in range(4):
+            text = f" {' '.join(words[:between])} ".join([licenses.TEMPLATES[name]] * times)
+            found = index.scan(text, 0.8, 8)
+            assert [f["license"] for f in found] == [name] * times, (times, between)
+            assert all(f["coverage"] == 1.0 and f["matched_words"] == n for f in found)
+
+
+def test_a_long_text_of_notices_takes_seconds():
+    import time
+
+    index = licenses.Index(licenses.TEMPLATES)
+    rng = random.Random(4)
+    names = sorted(licenses.TEMPLATES)[:6]
+    chosen = [rng.choice(names) for _ in range(15_000)]
+    text = " plain ".join(licenses.TEMPLATES[n] for n in chosen)
+    begun = time.process_time()
+    assert [f["license"] for f in index.scan(text, 0.8, 8)] == chosen
+    assert time.process_time() - begun < 60 and len(text) > 700_000
