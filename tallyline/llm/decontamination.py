@@ -169,5 +169,6 @@ def contamination(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", t
 
 
 def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", **more) -> DataFrame:
-    """The documents that hold no item, with df's columns."""
-    return with_hits(df, benchmark, text, hits="held items", **more).where(F.size("held items") == 0).select(*(F.col(f"`{c}`") for c in df.columns))
+    """The documents that hold no item, with df's columns, whatever these are called."""
+    packed = df.select(F.col(text).alias("text"), F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"))
+    return with_hits(packed, benchmark, "text", hits="hits", **more).where(F.size("hits") == 0).select("row.*")

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; only where that is unset (tests) a local one is set."""
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset, a local
+    session (tests) gets a folder of its own; on a cluster executors would not see one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         where = tempfile.mkdtemp(prefix="tallyline-")
@@ -19,6 +22,18 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A folder of its own below the shared one, for one run."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.frames import settled, shuffle_partitions
+from tallyline.llm.frames import settled, shuffle_partitions, unused
 
 
 @dataclass(frozen=True)
@@ -63,18 +63,19 @@ def _by_parent(shards: tuple[Shard, ...], parent: str, name) -> Column:
 def with_shard(df: DataFrame, key: Column, shards: tuple[Shard, ...], shard: str = "shard") -> DataFrame:
     """Adds the shard of each row, which the key and the tree decide. A null key is a key like any other.
 
-    Nothing is moved. Columns used on the way are dropped again; one named as `shard` is replaced.
+    Nothing is moved. Other columns stay; one named as `shard` is replaced.
     """
     key = F.coalesce(key.cast("string"), F.lit("null"))
     regions: dict[str, float] = {}
     for s in shards:
         regions[s.region] = regions.get(s.region, 0.0) + s.weight
     region = _winner(key, _children(regions))
-    rack = _winner(key, F.element_at(_by_parent(shards, "region", lambda s: s.rack), F.col("drawn region")))
-    leaf = _winner(key, F.element_at(_by_parent(shards, "rack", lambda s: f"{s.rack}/shard{s.number}"), F.col("drawn rack")))
-    out = df.withColumn("drawn region", region).withColumn("drawn rack", rack)
+    drawn_region, drawn_rack = unused(df, "drawn region", "drawn rack")
+    rack = _winner(key, F.element_at(_by_parent(shards, "region", lambda s: s.rack), F.col(drawn_region)))
+    leaf = _winner(key, F.element_at(_by_parent(shards, "rack", lambda s: f"{s.rack}/shard{s.number}"), F.col(drawn_rack)))
+    out = df.withColumn(drawn_region, region).withColumn(drawn_rack, rack)
     out = out.withColumn(shard, F.substring_index(leaf, "/shard", -1).cast("int"))
-    return out.drop("drawn region", "drawn rack")
+    return out.drop(drawn_region, drawn_rack)
 
 
 def with_slots(df: DataFrame, shard: str, order: list[str], slot: str = "slot") -> DataFrame:
@@ -84,12 +85,13 @@ def with_slots(df: DataFrame, shard: str, order: list[str], slot: str = "slot")
     and shard, and lifted by the counts of the ranges before: no shard meets in one task.
     """
     spark = df.sparkSession
-    ranged = settled(settled(df).repartitionByRange(shuffle_partitions(spark), shard, *order)).withColumn("range", F.spark_partition_id())
-    counts = ranged.groupBy(shard, "range").agg(F.count(F.lit(1)).alias("rows"))
+    before, rank, part, rows = unused(df, "before", "rank", "range", "rows")
+    ranged = settled(settled(df).repartitionByRange(shuffle_partitions(spark), shard, *order)).withColumn(part, F.spark_partition_id())
+    counts = ranged.groupBy(shard, part).agg(F.count(F.lit(1)).alias(rows))
     # one row for each shard and range
-    before = counts.select(shard, "range", (F.sum("rows").over(_window([shard], ["range"])) - F.col("rows")).alias("before"))
-    ranked = ranged.withColumn("rank", F.row_number().over(_window([shard, "range"], order)))
-    return ranked.join(before, [shard, "range"]).withColumn(slot, (F.col("before") + F.col("rank") - 1).cast("long")).drop("before", "rank", "range")
+    sums = counts.select(shard, part, (F.sum(rows).over(_window([shard], [part])) - F.col(rows)).alias(before))
+    ranked = ranged.withColumn(rank, F.row_number().over(_window([shard, part], order)))
+    return ranked.join(sums, [shard, part]).withColumn(slot, (F.col(before) + F.col(rank) - 1).cast("long")).drop(before, rank, part)
 
 
 def _window(by: list[str], order: list[str]):
